@@ -17,12 +17,12 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def present(df: DataFrame) -> DataFrame:
+def present(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Comparable values: rounded doubles, dates and timestamps as text, whole numbers as bigint."""
     def shown(field: T.StructField):
         value = col(field.name)
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            value = F.round(value, DIGITS)
+            value = F.round(value, digits)
         elif isinstance(field.dataType, T.DateType):
             value = value.cast("string")
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -34,10 +34,10 @@ def present(df: DataFrame) -> DataFrame:
     return df.select(*(shown(field) for field in df.schema.fields))
 
 
-def register(name: str, query: Query, sql: str | None = None) -> None:
+def register(name: str, query: Query, sql: str | None = None, digits: int = DIGITS) -> None:
     if name in QUERIES:
         raise KeyError(f"Query {name} is registered twice.")
-    QUERIES[name] = lambda spark, sf_dir: present(query(spark, sf_dir))
+    QUERIES[name] = lambda spark, sf_dir: present(query(spark, sf_dir), digits)
     if sql is not None:
         SQL[name] = sql
 
