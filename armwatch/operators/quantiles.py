@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from armwatch.columns import col, cols
 
 CELLS = 4096    # histogram resolution per narrowing step
-SALTS = 16      # spread of one group's values over join partitions
+SALT_BITS = 4   # one group's values are spread over 2^4 join partitions
 
 
 def value_frequencies(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -25,10 +25,13 @@ def value_frequencies(df: DataFrame, keys: Sequence[str], measures: Sequence[str
 
     A lossless form of "all raw values of the group" that stays a distributed table.
     """
-    long = df.select(*cols(keys), *(col(m).cast("double").alias(m) for m in measures)).unpivot(
-        cols(keys), cols(measures), "variable", "value")
+    long = df.select(*cols(keys), F.inline(F.array(*(
+        F.struct(F.lit(m).alias("variable"), col(m).cast("double").alias("value"))
+        for m in measures))))
     return (long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-            .groupBy(*cols(keys), "variable", "value").agg(F.count(F.lit(1)).alias("n")))
+            .groupBy(F.struct(*cols(keys), "variable").alias("id"), "value")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select("id.*", "value", "n"))
 
 
 def quantiles_of(freq: DataFrame, keys: Sequence[str], probs: Sequence[float],
@@ -37,30 +40,27 @@ def quantiles_of(freq: DataFrame, keys: Sequence[str], probs: Sequence[float],
 
     ``levels`` histogram steps run before the final in-cell sort. One step suits bounded
     measures; heavy-tailed ones gain from a second. The result is exact for any number.
+
+    ``freq`` is read once per step but computed once: the steps join on a struct of the keys,
+    which is never null, so no step gets filters of its own and all share one exchange.
     """
-    by = [*keys, "variable"]
     probs = [float(p) for p in probs]
     position = {p: F.lit(p) * (F.col("total") - 1) for p in probs}
     ranks = F.array_distinct(F.array(*(edge(position[p]).cast("long")
                                        for p in probs for edge in (F.floor, F.ceil))))
-    wanted = (freq.groupBy(*cols(by))
+    rows = freq.select(F.struct(*cols([*keys, "variable"])).alias("id"), "value", "n")
+    wanted = (rows.groupBy("id")
               .agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
                    F.sum("n").alias("total"))
-              .select(*cols(by), "lo", "hi", "total", F.lit(0).cast("long").alias("below"),
+              .select("id", "lo", "hi", "total", F.lit(0).cast("long").alias("below"),
                       F.explode(ranks).alias("rank")))
     for _ in range(levels):
-        wanted = _narrow(freq, wanted, by)
-    order = W.partitionBy(*cols(by), "rank").orderBy("value").rowsBetween(
-        W.unboundedPreceding, W.currentRow)
-    reached = F.col("below") + F.sum("n").over(order)
-    found = (_candidates(freq, wanted, by).withColumn("reached", reached)
-             .where((F.col("reached") > F.col("rank"))
-                    & (F.col("reached") - F.col("n") <= F.col("rank")))
-             .groupBy(*cols(by), "total")
-             .agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")))
-    return found.select(*cols(by), F.explode(F.array(*(
+        wanted = _narrow(rows, wanted)
+    found = _holding_rank(_candidates(rows, wanted), "value").groupBy("id", "total").agg(
+        F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    return found.select("id", F.explode(F.array(*(
         F.struct(F.lit(p).alias("prob"), _interpolate(position[p]).alias("value"))
-        for p in probs))).alias("q")).select(*cols(by), "q.prob", "q.value")
+        for p in probs))).alias("q")).select("id.*", "q.prob", "q.value")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], measures: Sequence[str],
@@ -81,27 +81,33 @@ def _interpolate(position: Column) -> Column:
     return low + (high - low) * (position - F.floor(position))
 
 
-def _candidates(freq: DataFrame, wanted: DataFrame, by: Sequence[str]) -> DataFrame:
+def _candidates(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Values inside the interval of each wanted rank; salted so no group meets one task."""
-    salted = freq.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
-    spread = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (salted.join(spread, on=[*by, "salt"])
+    salt = F.shiftrightunsigned(F.xxhash64("value"), 64 - SALT_BITS)
+    salts = F.sequence(F.lit(0), F.lit(2 ** SALT_BITS - 1)).cast("array<bigint>")
+    spread = wanted.withColumn("salt", F.explode(salts))
+    return (rows.withColumn("salt", salt).join(spread, on=["id", "salt"])
             .where(F.col("value").between(F.col("lo"), F.col("hi"))))
 
 
-def _narrow(freq: DataFrame, wanted: DataFrame, by: Sequence[str]) -> DataFrame:
+def _holding_rank(rows: DataFrame, order: str) -> DataFrame:
+    """The row, in the given order, whose cumulated count passes the wanted rank. ``below``
+    becomes the count before that row."""
+    running = F.sum("n").over(W.partitionBy("id", "rank").orderBy(order).rowsBetween(
+        W.unboundedPreceding, W.currentRow))
+    return (rows.withColumn("reached", F.col("below") + running)
+            .where((F.col("reached") > F.col("rank"))
+                   & (F.col("reached") - F.col("n") <= F.col("rank")))
+            .withColumn("below", F.col("reached") - F.col("n")))
+
+
+def _narrow(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Shrink the interval of each rank to the histogram cell that holds it."""
     span = F.col("hi") - F.col("lo")
     cell = F.when(span > 0, F.least(F.floor((F.col("value") - F.col("lo")) / span * CELLS),
                                     F.lit(CELLS - 1))).otherwise(0)
-    histogram = (_candidates(freq, wanted, by)
-                 .groupBy(*cols(by), "total", "rank", "below", cell.alias("cell"))
+    histogram = (_candidates(rows, wanted)
+                 .groupBy("id", "total", "rank", "below", cell.alias("cell"))
                  .agg(F.sum("n").alias("n"), F.min("value").alias("lo"),
                       F.max("value").alias("hi")))
-    order = W.partitionBy(*cols(by), "rank").orderBy("cell").rowsBetween(
-        W.unboundedPreceding, W.currentRow)
-    return (histogram.withColumn("reached", F.col("below") + F.sum("n").over(order))
-            .where((F.col("reached") > F.col("rank"))
-                   & (F.col("reached") - F.col("n") <= F.col("rank")))
-            .select(*cols(by), "lo", "hi", "total",
-                    (F.col("reached") - F.col("n")).alias("below"), "rank"))
+    return _holding_rank(histogram, "cell").select("id", "lo", "hi", "total", "below", "rank")

@@ -13,6 +13,7 @@ from armwatch.columns import col
 from armwatch.operators.prepare import derived_measures, fixed_bins, quantile_bins
 from armwatch.sources.contract import (
     AGE_BINS, AGE_LABELS, BMI_BINS, BMI_LABELS, HCT_BINS, HCT_LABELS, QUARTILES)
+from armwatch.sources.tables import spread_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +70,8 @@ def collections(spark: SparkSession, sf_dir: str, quartiles: bool = False) -> Da
 
     ``quartiles`` adds ``weight_cat``, which takes one more pass for the exact quartiles.
     """
-    joined = (_table(spark, sf_dir, "lineitem")
+    lines = spread_out(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    joined = (lines
               .join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
               .join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")))
     base = joined.selectExpr(*_named(_BASE)).selectExpr("*", *_named(_DERIVED))

@@ -46,6 +46,19 @@ def read_parquet(spark: SparkSession, path: str, contract: Contract) -> DataFram
     return table.select(*cols(contract.selected(table.columns)))
 
 
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Use every core on input that splits into fewer partitions than there are cores.
+
+    A Parquet file is split by row group only, so a small table may arrive as one busy task. A
+    table of many row groups already has more partitions than cores and is left as it is: no
+    shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *cols(keys))
+
+
 def refresh(spark: SparkSession, path: str, contract: Contract,
             old: DataFrame | None = None, file_format: str = "parquet") -> DataFrame:
     """Reload after the files changed: drop the old cache and file listing, then read again."""
