@@ -38,7 +38,7 @@ arms AS (SELECT trt_group, CAST(count(DISTINCT donor_id) AS DOUBLE) AS n_donors,
 rated AS (SELECT *, n_donations / n_donors AS repeat_don_rate FROM (
             SELECT * FROM arms UNION ALL
             SELECT 'grand_total', sum(n_donors), sum(n_donations), sum(n_withdrawals) FROM arms))
-"""))
+"""), digits=7)
 
 _COLUMNS = dashboard.GROUPINGS
 

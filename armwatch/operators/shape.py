@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from armwatch.columns import col, cols, percent
+from armwatch.session import settled
 
 GRAND_TOTAL, SUBTOTAL, SEPARATOR, BLANK, OVERALL = (
     "grand_total", "subtotal", " | ", " ", "overall")
@@ -29,6 +30,7 @@ def level_grid(counts: DataFrame, strata: Sequence[str],
 def complete_grid(counts: DataFrame, strata: Sequence[str], measures: Sequence[str],
                   levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """An aggregate over all level combinations; the empty ones count 0."""
+    counts = settled(counts)
     grid = level_grid(counts, strata, levels)
     return grid.join(counts, on=list(strata), how="left").fillna(0, subset=list(measures))
 

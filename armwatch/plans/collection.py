@@ -1,26 +1,25 @@
-"""Collection metrics: counts per device and distributions of the measures."""
+"""Collection metrics: counts per device and distributions of the measures.
+
+Spread is the sample form per stratum and the population form for the whole table.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from armwatch.columns import col, cols, need_columns, need_member, percent
 from armwatch.operators.quantiles import quantiles_of, value_frequencies
-from armwatch.operators.shape import OVERALL, complete_grid, long_metrics, with_overall
+from armwatch.operators.shape import (
+    OVERALL, complete_grid, long_metrics, split_and_overall, with_overall)
 from armwatch.sources.contract import CATEGORY, PLASMA, POPULATION, SEVERITY, Contract
 
 MEASURES = ("target_vol", "actual_vol", "yield", "yield_resid", "duration_minutes", "speed")
 WEEKLY = "col_weekly_per_device"
 
-# Spread: sample form per stratum, population form for the whole table.
-_MOMENTS: dict[bool, dict[str, Callable[[Column], Column]]] = {
-    True: {"mean": F.avg, "sd": F.stddev_samp},
-    False: {"mean": F.avg, "sd": F.stddev_pop},
-}
 _QUANTILES = {"median": .5, "quantile_025": .025, "quantile_975": .975}
 
 
@@ -31,12 +30,25 @@ def _check(data: DataFrame, strata: Sequence[str], pop: str, contract: Contract)
     need_columns(data, strata)
 
 
-def _moments(data: DataFrame, strata: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    metrics = _MOMENTS[bool(strata)]
-    table = data.groupBy(*cols(strata)).agg(*(
-        metric(col(m)).alias(f"{m}:{name}") for m in measures for name, metric in metrics.items()))
-    return long_metrics(table, strata, {(m, name): col(f"{m}:{name}")
-                                        for m in measures for name in metrics})
+def _moments(data: DataFrame, strata: Sequence[str], measures: Sequence[str],
+             overall: bool) -> DataFrame:
+    """Mean and spread per stratum and, with ``overall``, of the whole table: one scan."""
+    forms = {"mean": F.avg, "sample": F.stddev_samp, "population": F.stddev_pop}
+    aggregates = [form(col(m)).alias(f"{m}:{name}")
+                  for m in measures for name, form in forms.items()]
+    if overall:
+        table = split_and_overall(data, strata, aggregates)
+        whole = F.lit(True)
+        for name in strata:
+            whole = whole & (col(name) == OVERALL)
+    else:
+        table = data.groupBy(*cols(strata)).agg(*aggregates)
+        whole = F.lit(not strata)
+    metrics = {}
+    for m in measures:
+        metrics[(m, "mean")] = col(f"{m}:mean")
+        metrics[(m, "sd")] = F.when(whole, col(f"{m}:population")).otherwise(col(f"{m}:sample"))
+    return long_metrics(table, strata, metrics)
 
 
 def _quantile_rows(freq: DataFrame, strata: Sequence[str]) -> DataFrame:
@@ -47,18 +59,38 @@ def _quantile_rows(freq: DataFrame, strata: Sequence[str]) -> DataFrame:
     return found.select(*cols(strata), "variable", label.alias("metric"), "value")
 
 
+def _whole_table(freq: DataFrame) -> DataFrame:
+    """Frequencies of the whole table from those of the strata, without another scan."""
+    return freq.groupBy("variable", "value").agg(F.sum("n").alias("n"))
+
+
+def _raw_rows(freq: DataFrame, strata: Sequence[str], metric: str = "raw_data") -> DataFrame:
+    return freq.select(*cols(strata), "variable", F.lit(metric).alias("metric"), "value", "n")
+
+
+def _no_count(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("n", F.lit(None).cast("long"))
+
+
 def _distribution(data: DataFrame, strata: Sequence[str], measures: Sequence[str],
-                  raw: bool) -> DataFrame:
+                  raw: bool, overall: bool = False) -> DataFrame:
     """Five metrics per measure; ``raw`` adds every value with its frequency."""
     freq = value_frequencies(data, strata, measures)
-    out = _moments(data, strata, measures).unionByName(_quantile_rows(freq, strata))
-    if not raw:
-        return out
-    values = freq.select(*cols(strata), "variable", F.lit("raw_data").alias("metric"), "value", "n")
-    return out.withColumn("n", F.lit(None).cast("long")).unionByName(values)
+    quantile_rows, raw_rows = _quantile_rows(freq, strata), _raw_rows(freq, strata)
+    if overall:
+        whole = _whole_table(freq)
+        quantile_rows = with_overall(quantile_rows, _quantile_rows(whole, []), strata)
+        raw_rows = with_overall(raw_rows, _raw_rows(whole, []), strata)
+    out = _moments(data, strata, measures, overall).unionByName(quantile_rows)
+    return _no_count(out).unionByName(raw_rows) if raw else out
 
 
-def weekly_per_device(data: DataFrame, strata: Sequence[str],
+def _visits(data: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Distinct (stratum, device, week, collection): every count below derives from it."""
+    return data.select(*cols([*strata, "dev_id", "week", "col_id"])).distinct()
+
+
+def weekly_per_device(visits: DataFrame, strata: Sequence[str],
                       complete: bool = False) -> DataFrame:
     """Mean weekly number of distinct collections of each device.
 
@@ -66,12 +98,28 @@ def weekly_per_device(data: DataFrame, strata: Sequence[str],
     combination, unused ones as 0.
     """
     keys = [*strata, "dev_id", "week"]
-    weekly = data.groupBy(*cols(keys)).agg(F.count_distinct("col_id").alias("collections"))
+    weekly = visits.groupBy(*cols(keys)).agg(F.count_distinct("col_id").alias("collections"))
     if complete:
         weekly = complete_grid(weekly, keys, ["collections"])
     return weekly.groupBy(*cols([*strata, "dev_id"])).agg(F.avg("collections").alias(WEEKLY))
 
 
+def _counts(visits: DataFrame, strata: Sequence[str], raw: bool, complete: bool) -> DataFrame:
+    counts = visits.groupBy(*cols(strata)).agg(
+        F.count_distinct("col_id").alias("col_id"), F.count_distinct("dev_id").alias("dev_id"))
+    metrics = {(name, "nunique"): col(name) for name in ("col_id", "dev_id")}
+    if strata:
+        whole = W.partitionBy()      # one row per stratum
+        counts = counts.withColumns({
+            f"{name}:pct": percent(col(name), F.sum(col(name)).over(whole))
+            for name in ("col_id", "dev_id")})
+        metrics |= {(name, "pct_total"): col(f"{name}:pct") for name in ("col_id", "dev_id")}
+    counted = long_metrics(counts, strata, metrics)
+    devices = weekly_per_device(visits, strata, complete and bool(strata))
+    return (_no_count(counted) if raw else counted).unionByName(
+        _distribution(devices, strata, [WEEKLY], raw))
+
+
 def count_summary(data: DataFrame, strata: Sequence[str] | None = None, pop: str = "itt",
                   raw: bool = False, complete: bool = False,
                   contract: Contract = PLASMA) -> DataFrame:
@@ -79,21 +127,15 @@ def count_summary(data: DataFrame, strata: Sequence[str] | None = None, pop: str
     mean weekly collections: ``(strata, variable, metric, value)``."""
     strata = list(strata or [])
     _check(data, strata, pop, contract)
-    chosen = data.where(col(pop))
-    counts = chosen.groupBy(*cols(strata)).agg(
-        F.count_distinct("col_id").alias("col_id"), F.count_distinct("dev_id").alias("dev_id"))
-    metrics = {(name, "nunique"): col(name) for name in ("col_id", "dev_id")}
-    if strata:
-        whole = W.partitionBy()      # one row per stratum
-        metrics |= {(name, "pct_total"): percent(col(name), F.sum(col(name)).over(whole))
-                    for name in ("col_id", "dev_id")}
-        counts = counts.withColumns({f"{n}:{m}": value for (n, m), value in metrics.items()})
-        metrics = {(n, m): col(f"{n}:{m}") for n, m in metrics}
-    counted = long_metrics(counts, strata, metrics)
-    if raw:
-        counted = counted.withColumn("n", F.lit(None).cast("long"))
-    devices = weekly_per_device(chosen, strata, complete and bool(strata))
-    return counted.unionByName(_distribution(devices, strata, [WEEKLY], raw))
+    return _counts(_visits(data.where(col(pop)), strata), strata, raw, complete)
+
+
+def _flag_rows(chosen: DataFrame, contract: Contract) -> DataFrame:
+    """Values of each severity flag over the whole table, 1/0 with their counts."""
+    names = [name for name in contract.names(SEVERITY) if name in chosen.columns]
+    flags = value_frequencies(
+        chosen.select(*(col(name).cast("int").alias(name) for name in names)), [], names)
+    return _raw_rows(flags, [], "flags")
 
 
 def plasma_summary(data: DataFrame, strata: Sequence[str] | None = None, pop: str = "itt",
@@ -107,31 +149,30 @@ def plasma_summary(data: DataFrame, strata: Sequence[str] | None = None, pop: st
     _check(data, strata, pop, contract)
     chosen = data.where(col(pop))
     out = _distribution(chosen, strata, MEASURES, raw)
-    if not raw or strata:
-        return out
-    names = [name for name in contract.names(SEVERITY) if name in data.columns]
-    flags = value_frequencies(
-        chosen.select(*(col(name).cast("int").alias(name) for name in names)), [], names)
-    return out.unionByName(flags.select("variable", F.lit("flags").alias("metric"), "value", "n"))
+    return out.unionByName(_flag_rows(chosen, contract)) if raw and not strata else out
 
 
 def summary(data: DataFrame, strata: Sequence[str] = ("site",), population: str = "itt",
             contract: Contract = PLASMA) -> DataFrame:
     """Counts and measures per stratum, together with the ``overall`` rows."""
     strata = list(strata)
-    split = [part(data, strata, population, contract=contract)
-             for part in (count_summary, plasma_summary)]
-    whole = [part(data, None, population, contract=contract)
-             for part in (count_summary, plasma_summary)]
-    return with_overall(split[0].unionByName(split[1]), whole[0].unionByName(whole[1]), strata)
+    _check(data, strata, population, contract)
+    chosen = data.where(col(population))
+    visits = _visits(chosen, strata)
+    counts = with_overall(_counts(visits, strata, False, False),
+                          _counts(visits, [], False, False), strata)
+    return counts.unionByName(_distribution(chosen, strata, MEASURES, False, overall=True))
 
 
 def distribution(data: DataFrame, strata: Sequence[str] = ("site",), population: str = "itt",
                  contract: Contract = PLASMA) -> DataFrame:
     """Measures with their whole distribution per stratum, together with ``overall``."""
     strata = list(strata)
-    return with_overall(plasma_summary(data, strata, population, True, contract),
-                        plasma_summary(data, None, population, True, contract), strata)
+    _check(data, strata, population, contract)
+    chosen = data.where(col(population))
+    out = _distribution(chosen, strata, MEASURES, True, overall=True)
+    labelled = _flag_rows(chosen, contract).withColumns({k: F.lit(OVERALL) for k in strata})
+    return out.unionByName(labelled)
 
 
 __all__ = ["MEASURES", "OVERALL", "WEEKLY", "count_summary", "distribution", "plasma_summary",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from armwatch.columns import col, cols, need_member, ratio
 from armwatch.operators.shape import GRAND_TOTAL, with_subtotals
+from armwatch.session import settled
 
 GROUPINGS = {"SITE": "site", "GENDER": "gender", "STATUS": "donor_status", "AGE": "age_cat",
              "WEIGHT": "weight_cat", "BMI": "bmi_cat", "HEMO": "hct_cat"}
@@ -33,37 +34,41 @@ def summary_donation(data: DataFrame) -> DataFrame:
     return _arms_as_columns(table, [*measures, "repeat_don_rate"])
 
 
-def _long_groupings(data: DataFrame, by: list[str], donor_level: bool) -> DataFrame:
-    """Donors or donations per grouping, level and arm; all groupings in one scan.
+_ANY = "*"      # stands for all levels, or for both arms together
 
-    Rows are first collapsed to distinct combinations, then spread over the groupings.
+
+def _counts(data: DataFrame, by: list[str], donor_level: bool) -> DataFrame:
+    """Donors or donations per ``(grouping, level, arm)`` for all groupings in one scan.
+
+    Rows are first collapsed to distinct combinations, then spread over the groupings. Sites are
+    counted over both arms; grouping ``ARM`` holds the arm totals.
     """
-    names = [GROUPINGS[name] for name in by]
-    combos = data.groupBy("trt_group", "donor_id", *cols(names)).agg(
+    combos = data.groupBy("trt_group", "donor_id", *cols(GROUPINGS[name] for name in by)).agg(
         F.count("donor_id").alias("donations"))
-    long = combos.select("trt_group", "donor_id", "donations", F.explode(F.array(*(
-        F.struct(F.lit(key).alias("grouping"), col(GROUPINGS[key]).alias("level"))
-        for key in by))).alias("g")).select("trt_group", "donor_id", "donations", "g.*")
+    arm = col("trt_group")
+    targets = [("ARM", F.lit(_ANY), arm)] + [
+        (name, col(GROUPINGS[name]), F.lit(_ANY) if name == "SITE" else arm) for name in by]
+    long = combos.select("donor_id", "donations", F.inline(F.array(*(
+        F.struct(F.lit(name).alias("grouping"), level.alias("level"), side.alias("trt_group"))
+        for name, level, side in targets))))
     measure = F.count_distinct("donor_id") if donor_level else F.sum("donations")
-    return (long.where(col("level").isNotNull())
-            .groupBy("grouping", "level", "trt_group").agg(measure.alias("n")))
+    return settled(long.where(col("level").isNotNull())
+                   .groupBy("grouping", "level", "trt_group").agg(measure.alias("n")))
 
 
-def site_counts(data: DataFrame, donor_level: bool = True) -> DataFrame:
-    """Donors (or donations) per site."""
-    measure = F.count_distinct("donor_id") if donor_level else F.count("donor_id")
-    return data.groupBy(col("site").alias("level")).agg(measure.alias("value"))
+def _of(counts: DataFrame, *groupings: str) -> DataFrame:
+    return counts.where(col("grouping").isin(*groupings))
 
 
-def _arm_totals(data: DataFrame, donor_level: bool) -> DataFrame:
-    measure = F.count_distinct("donor_id") if donor_level else F.count("donor_id")
-    return data.groupBy("trt_group").agg(measure.alias("arm_total"))
+def _site_counts(counts: DataFrame) -> DataFrame:
+    return _of(counts, "SITE").select("level", col("n").alias("value"))
 
 
-def _shares_in_arm(counts: DataFrame, totals: DataFrame) -> DataFrame:
-    """Share of the arm, labelled ``A_male``. One row per arm joins one row per level."""
+def _shares_in_arm(counts: DataFrame, *groupings: str) -> DataFrame:
+    """Share of the arm, labelled ``A_male``."""
+    totals = _of(counts, "ARM").select("trt_group", col("n").alias("arm_total"))
     label = F.concat_ws("_", col("trt_group"), F.lower("level"))
-    return counts.join(totals, on="trt_group").select(
+    return _of(counts, *groupings).join(totals, on="trt_group").select(
         "grouping", label.alias("level"), ratio(col("n"), col("arm_total")).alias("value"))
 
 
@@ -80,27 +85,25 @@ def summary_demographic(data: DataFrame, by: str, donor_level: bool = True) -> D
     """Donors or donations by one grouping: counts per site, shares within the arm for gender and
     status, arm shares per level for the binned demographics."""
     need_member(by, GROUPINGS, "Grouping")
+    counts = _counts(data, [by], donor_level)
     if by == "SITE":
-        return site_counts(data, donor_level)
-    counts = _long_groupings(data, [by], donor_level)
+        return _site_counts(counts)
     if by in ("GENDER", "STATUS"):
-        return _shares_in_arm(counts, _arm_totals(data, donor_level)).drop("grouping")
-    return _arms_per_level(counts).drop("grouping")
+        return _shares_in_arm(counts, by).drop("grouping")
+    return _arms_per_level(_of(counts, by)).drop("grouping")
 
 
 def all_demographics(data: DataFrame, donor_level: bool = True) -> DataFrame:
-    """Every grouping in one table ``(grouping, level, series, value)``; one scan for the counts.
+    """Every grouping in one table ``(grouping, level, series, value)`` from one scan.
 
     ``series`` is the arm (or ``grand_total``) for the binned demographics, else ``value``.
     """
-    arm_shares, binned = ["GENDER", "STATUS"], ["AGE", "WEIGHT", "BMI", "HEMO"]
-    counts = _long_groupings(data, [*arm_shares, *binned], donor_level)
-    site = site_counts(data, donor_level).select(
+    counts = _counts(data, list(GROUPINGS), donor_level)
+    site = _site_counts(counts).select(
         F.lit("SITE").alias("grouping"), "level", F.lit("value").alias("series"),
         col("value").cast("double").alias("value"))
-    within = _shares_in_arm(counts.where(col("grouping").isin(arm_shares)),
-                            _arm_totals(data, donor_level)).withColumn("series", F.lit("value"))
-    across = _arms_per_level(counts.where(col("grouping").isin(binned))).unpivot(
+    within = _shares_in_arm(counts, "GENDER", "STATUS").withColumn("series", F.lit("value"))
+    across = _arms_per_level(_of(counts, "AGE", "WEIGHT", "BMI", "HEMO")).unpivot(
         [col("grouping"), col("level")], [col("A"), col("B"), col(GRAND_TOTAL)], "series", "value")
     out = site.unionByName(within).unionByName(across)
     return out.withColumn("grouping", F.lower("grouping"))

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from armwatch.columns import col, cols, need_columns, need_member, on_columns, percent, ratio
 from armwatch.operators.prepare import period_start
 from armwatch.operators.shape import calendar, carried_forward, running_total
+from armwatch.session import settled
 
 DATE, SUBJECT = "ENR_DATE", "SUBJECT_ID"
 
@@ -115,7 +116,8 @@ def projections(data: DataFrame, strata: Sequence[str], donor_level: bool, steps
     """
     need_member(stop_rule, ("total", "compounded"), "'stop_rule'")
     strata = list(strata)
-    history = _cumulative(working_data(data, strata, donor_level, subject), strata)
+    weekly = settled(working_data(data, strata, donor_level, subject))
+    history = _cumulative(weekly, strata)
     latest = history.groupBy(*cols(strata)).agg(
         F.max("week").alias("week"), F.max_by("value", "week").alias("value"))
     ahead = (latest.join(steps, on=strata)
@@ -172,7 +174,7 @@ def dense_bar_chart(data: DataFrame, show_by: str, by_donor: bool, strata: Seque
                     only_new_donors: bool = False, date: str = DATE,
                     subject: str = SUBJECT) -> DataFrame:
     """The bar chart on a complete calendar, long: ``(period, strata, metric, value)``."""
-    chart = bar_chart(data, show_by, by_donor, strata, only_new_donors, date, subject)
+    chart = settled(bar_chart(data, show_by, by_donor, strata, only_new_donors, date, subject))
     step = {"week": "7 DAYS", "day": "1 DAY"}[show_by]
     full = calendar(chart, strata, show_by, step).join(chart, on=[*strata, show_by], how="left")
     filled = full.select(show_by, *cols(strata),
@@ -204,7 +206,7 @@ def model_projections(data: DataFrame, strata: Sequence[str], donor_level: bool,
     """
     need_member(trend, ("linear", "changepoint"), "'trend'")
     strata = list(strata)
-    totals = _daily_totals(data, strata, donor_level, date, subject)
+    totals = settled(_daily_totals(data, strata, donor_level, date, subject))
     fit = _linear_fit if trend == "linear" else _changepoint_fit
     fitted = fit(totals, strata, horizon_days, NormalDist().inv_cdf((1 + band) / 2))
     per_day = fitted.groupBy("day").agg(F.sum("yhat").alias("total"))

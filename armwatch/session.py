@@ -1,10 +1,10 @@
-"""Local session for tests and the bench; a cluster brings its own settings."""
+"""Session settings: a local session for tests and the bench, and the shared folder."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "armwatch", cpus: int | str = "*", memory: str = "8g",
@@ -21,13 +21,29 @@ def local_session(name: str = "armwatch", cpus: int | str = "*", memory: str = "
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the session names in ``spark.checkpoint.dir``; where it names none, as
+    in local tests, a temporary folder made once per session."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        import tempfile
+        named = tempfile.mkdtemp(prefix="armwatch-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for written intermediate tables: the session's checkpoint folder.
+    """Folder for written intermediate tables."""
+    return os.path.join(shared_dir(spark), "armwatch")
 
-    Only where the session names none (local tests) a temporary folder is made.
+
+def settled(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage by a checkpoint on the shared folder.
+
+    For aggregates and draws that several branches of a plan read: the source is scanned once,
+    and a lost executor costs no recomputation.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-        shared = tempfile.mkdtemp(prefix="armwatch-")
-    return os.path.join(shared, "armwatch")
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
