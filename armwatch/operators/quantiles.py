@@ -38,7 +38,7 @@ def quantiles_of(freq: DataFrame, keys: Sequence[str], probs: Sequence[float],
                  levels: int = 1) -> DataFrame:
     """``(keys, variable, prob, value)`` with linear interpolation between ranks.
 
-    ``levels`` histogram steps run before the final in-cell sort. One step suits bounded
+    ``levels`` (at least 1) histogram steps run before the final in-cell sort. One step suits bounded
     measures; heavy-tailed ones gain from a second. The result is exact for any number.
 
     ``freq`` is read once per step but computed once: the steps join on a struct of the keys,
@@ -49,14 +49,15 @@ def quantiles_of(freq: DataFrame, keys: Sequence[str], probs: Sequence[float],
     ranks = F.array_distinct(F.array(*(edge(position[p]).cast("long")
                                        for p in probs for edge in (F.floor, F.ceil))))
     rows = freq.select(F.struct(*cols([*keys, "variable"])).alias("id"), "value", "n")
-    wanted = (rows.groupBy("id")
-              .agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
-                   F.sum("n").alias("total"))
-              .select("id", "lo", "hi", "total", F.lit(0).cast("long").alias("below"),
-                      F.explode(ranks).alias("rank")))
-    for _ in range(levels):
-        wanted = _narrow(rows, wanted)
-    found = _holding_rank(_candidates(rows, wanted), "value").groupBy("id", "total").agg(
+    spans = rows.groupBy("id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
+                                   F.sum("n").alias("total")).withColumn("below", F.lit(0))
+    # One histogram per group first; only then each wanted rank gets the cell that holds it.
+    inside = F.filter(ranks, lambda r: (r >= F.col("below")) & (r < F.col("reached")))
+    wanted = _cells(rows, spans, ["id"]).withColumn("rank", F.explode(inside)).drop("n", "reached")
+    for _ in range(levels - 1):
+        wanted = _holding_rank(_cells(rows, wanted, ["id", "rank"])).drop("n", "reached")
+    sorted_values = _cumulated(_candidates(rows, wanted), ["id", "rank"], "value")
+    found = _holding_rank(sorted_values).groupBy("id", "total").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
     return found.select("id", F.explode(F.array(*(
         F.struct(F.lit(p).alias("prob"), _interpolate(position[p]).alias("value"))
@@ -90,24 +91,24 @@ def _candidates(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             .where(F.col("value").between(F.col("lo"), F.col("hi"))))
 
 
-def _holding_rank(rows: DataFrame, order: str) -> DataFrame:
-    """The row, in the given order, whose cumulated count passes the wanted rank. ``below``
-    becomes the count before that row."""
-    running = F.sum("n").over(W.partitionBy("id", "rank").orderBy(order).rowsBetween(
+def _cumulated(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """Counts up to and including each row (``reached``) and before it (``below``)."""
+    running = F.sum("n").over(W.partitionBy(*by).orderBy(order).rowsBetween(
         W.unboundedPreceding, W.currentRow))
     return (rows.withColumn("reached", F.col("below") + running)
-            .where((F.col("reached") > F.col("rank"))
-                   & (F.col("reached") - F.col("n") <= F.col("rank")))
             .withColumn("below", F.col("reached") - F.col("n")))
 
 
-def _narrow(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Shrink the interval of each rank to the histogram cell that holds it."""
+def _holding_rank(rows: DataFrame) -> DataFrame:
+    return rows.where((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("reached")))
+
+
+def _cells(rows: DataFrame, spans: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Histogram of each interval, cumulated; a cell carries the range of its own values."""
     span = F.col("hi") - F.col("lo")
     cell = F.when(span > 0, F.least(F.floor((F.col("value") - F.col("lo")) / span * CELLS),
                                     F.lit(CELLS - 1))).otherwise(0)
-    histogram = (_candidates(rows, wanted)
-                 .groupBy("id", "total", "rank", "below", cell.alias("cell"))
+    histogram = (_candidates(rows, spans).groupBy(*by, "total", "below", cell.alias("cell"))
                  .agg(F.sum("n").alias("n"), F.min("value").alias("lo"),
                       F.max("value").alias("hi")))
-    return _holding_rank(histogram, "cell").select("id", "lo", "hi", "total", "below", "rank")
+    return _cumulated(histogram, by, "cell").drop("cell")
