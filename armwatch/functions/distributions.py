@@ -19,10 +19,13 @@ from pyspark.sql import types as T
 # Ship these helpers inside the UDF, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
 _LOG_SQRT_2PI = 0.5 * math.log(2 * math.pi)
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.lgamma, x.ravel()), float, x.size).reshape(x.shape)
+
+
 def _stirling_error(n: np.ndarray) -> np.ndarray:
     """log(n!) minus Stirling's formula; the series keeps precision where log-gamma is huge."""
     small = np.minimum(n, 16.0)
