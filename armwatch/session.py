@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``; where it names none, as
     in local tests, a temporary folder made once per session."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        import tempfile
-        named = tempfile.mkdtemp(prefix="armwatch-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="armwatch-"))
+    return context.getCheckpointDir()
 
 
 def scratch_dir(spark: SparkSession) -> str:

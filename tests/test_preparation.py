@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from armwatch.operators import prepare
 from armwatch.sources import tables
 from armwatch.sources.collections import collections, raw_view, safety_view
-from armwatch.sources.contract import RAW_PLASMA, RAW_PROFILE, RAW_SAFETY, SAFETY, spark_pattern
+from armwatch.sources.contract import (
+    PLASMA, RAW_PLASMA, RAW_PROFILE, RAW_SAFETY, SAFETY, spark_pattern)
 from armwatch.streaming.intake import refresh_from_files
 
 
@@ -100,6 +101,20 @@ def test_repeated_header_is_found(spark, tmp_path):
         tables.read_csv(spark, str(path), SAFETY)
 
 
+def test_analysis_csv_types(spark, tmp_path):
+    """Dates with a space before the time, null tokens and boolean text, as a plain file."""
+    path, header = tmp_path / "plasma.csv", PLASMA.names()
+    values = {"col_date": "2020-02-03", "week": "2020-02-03", "proc_start": "2020-02-03 08:15:00",
+              "proc_end": "2020-02-03 09:00:00", "target_vol": "800", "actual_vol": "0",
+              "duration_minutes": "45", "speed": "0", "itt": "True", "pp": "False"}
+    path.write_text(",".join(header) + "\n"
+                    + ",".join(values.get(name, "1" if "vol" in name else "true") for name in header))
+    row = tables.read_csv(spark, str(path), PLASMA).first()
+    assert str(row.proc_start) == "2020-02-03 08:15:00" and str(row.col_date) == "2020-02-03"
+    assert row.actual_vol is None and row.target_vol == 800 and row.speed == 0
+    assert row.itt is True and row.pp is False
+
+
 def test_month_folders_are_pruned(spark, sf_dir, tmp_path):
     path = str(tmp_path / "safety")
     data = safety_view(collections(spark, sf_dir, quartiles=True))
