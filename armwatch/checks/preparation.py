@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from armwatch.checks.base import counted, over_collections, quoted, register
@@ -24,7 +21,7 @@ CODES = ("1.1", "1.2", "2.1", "3.1")
 
 def _scratch(spark) -> str:
     """A new folder per call under the shared scratch folder."""
-    return os.path.join(scratch_dir(spark), uuid.uuid4().hex)
+    return f"{scratch_dir(spark)}/table"
 
 
 def _raw(spark, sf_dir):
