@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armwatch.llm import byte_bpe, simhash
-from armwatch.llm.common import table
+from armwatch.llm import byte_bpe, embedding_dedup, simhash
+from armwatch.llm.common import bounded, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -15,13 +15,22 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(function):
-        QUERIES[name] = function
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bounded(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return function
     return add
 
 
+@query("op1_embedding_near_dedup", embedding_dedup.SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 @query("op3_simhash_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"), shingle=4, distance=4)
