@@ -15,6 +15,7 @@ text.
 from __future__ import annotations
 
 import functools
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces remembered per worker; when there are more, remembering starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def byte_of_character() -> dict[str, int]:
@@ -34,7 +35,13 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Codec:
+def file_of(path: str | None) -> str:
+    import public_tokenizers
+
+    return path or public_tokenizers.path("byte_bpe_50k.json")
+
+
+class Encoder:
     """One vocabulary file, loaded once per worker."""
 
     def __init__(self, path: str | None, pattern: str | None):
@@ -42,18 +49,9 @@ class Codec:
         import regex
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+        self.library = Tokenizer.from_file(file_of(path))
         self.library.encode_special_tokens = True
         self.cut = regex.compile(pattern or public_tokenizers.PATTERN).findall
-        table = byte_of_character()
-        special = self.library.get_added_tokens_decoder()
-        size = max(self.library.get_vocab().values()) + 1
-        self.bytes_of: list[bytes | None] = [None] * size
-        for token, i in self.library.get_vocab(with_added_tokens=False).items():
-            self.bytes_of[i] = bytes(map(table.__getitem__, token))
-        for i, token in special.items():
-            self.bytes_of[i] = token.content.encode()
-        self.length = np.array([len(b or b"") for b in self.bytes_of])
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -66,6 +64,22 @@ class Codec:
             known[piece] = np.array(found.ids, dtype="<u4").tobytes()
         return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
+
+class Decoder:
+    """The bytes of each id."""
+
+    def __init__(self, path: str | None):
+        with open(file_of(path), encoding="utf-8") as file:
+            content = json.load(file)
+        table, tokens = byte_of_character(), content["model"]["vocab"]
+        special = {x["id"]: x["content"].encode() for x in content["added_tokens"]}
+        self.bytes_of: list[bytes | None] = [None] * (max([*tokens.values(), *special]) + 1)
+        for token, i in tokens.items():
+            self.bytes_of[i] = special.get(i) or bytes(map(table.__getitem__, token))
+        for i, data in special.items():
+            self.bytes_of[i] = data
+        self.length = np.array([len(b or b"") for b in self.bytes_of])
+
     def decode(self, ids: bytes | None) -> bytes:
         if not ids:
             return b""
@@ -84,40 +98,21 @@ class Codec:
                 (character[after - 1] + 1).astype("<i4"))
 
 
-@functools.lru_cache(maxsize=4)
-def codec(path: str | None, pattern: str | None) -> Codec:
-    return Codec(path, pattern)
-
-
-#: Bytes of texts, or of four times the ids, that are worked on at a time within a batch.
-AT_ONCE = 4_000_000
-
-
-def _pieces(sizes: np.ndarray, at_once: int = AT_ONCE):
-    """Slices of a batch that hold about so many bytes each, one row at least."""
-    start = 0
-    total = np.cumsum(sizes)
-    while start < len(sizes):
-        before = total[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(total, before + at_once, side="right")))
-        yield slice(start, end)
-        start = end
+@functools.lru_cache(maxsize=2)
+def encoder(path: str | None, pattern: str | None) -> Encoder:
+    return Encoder(path, pattern)
 
 
-def _sizes(column: pa.Array) -> np.ndarray:
-    return np.array([0 if n is None else n for n in
-                     pa.compute.binary_length(column).to_pylist()], dtype=np.int64)
+@functools.lru_cache(maxsize=2)
+def decoder(path: str | None) -> Decoder:
+    return Decoder(path)
 
 
 def encoded(text: Column, path: str | None = None, pattern: str | None = None) -> Column:
     """Token ids of a text; ``path`` names a byte-level vocabulary of the tokenizers library."""
     @F.arrow_udf(T.BinaryType())
     def encode_batch(texts: pa.Array) -> pa.Array:
-        import pyarrow.compute  # noqa: F401
-        own, out = codec(path, pattern), []
-        for part in _pieces(_sizes(texts)):
-            out += own.encode(texts[part].to_pylist())
-        return pa.array(out, pa.binary())
+        return pa.array(encoder(path, pattern).encode(texts.to_pylist()), pa.binary())
 
     # else the optimizer repeats the encoding within every expression that reads the ids
     return encode_batch.asNondeterministic()(text)
@@ -127,11 +122,7 @@ def decoded(ids: Column, path: str | None = None) -> Column:
     """The bytes that token ids stand for."""
     @F.arrow_udf(T.BinaryType())
     def decode_batch(rows: pa.Array) -> pa.Array:
-        import pyarrow.compute  # noqa: F401
-        own, out = codec(path, None), []
-        for part in _pieces(_sizes(rows)):
-            out += map(own.decode, rows[part].to_pylist())
-        return pa.array(out, pa.binary())
+        return pa.array(map(decoder(path).decode, rows.to_pylist()), pa.binary())
 
     return decode_batch(ids)
 
@@ -155,8 +146,7 @@ def with_offsets(df: DataFrame, ids: str = "ids", starts: str = "starts", ends:
     both hold it."""
     @F.arrow_udf("struct<s: array<int>, e: array<int>>")
     def offset_batch(rows: pa.Array) -> pa.Array:
-        own = codec(path, None)
-        found = [own.offsets(row) for row in rows.to_pylist()]
+        found = map(decoder(path).offsets, rows.to_pylist())
         return pa.array([{"s": s, "e": e} for s, e in found],
                         pa.struct({"s": pa.list_(pa.int32()), "e": pa.list_(pa.int32())}))
 

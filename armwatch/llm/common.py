@@ -11,6 +11,15 @@ GAP = r"[\x20\x09-\x0D]+"
 LAST = 2**63 - 1
 
 
+#: Bytes of one Arrow batch. Spark's own bound is 64 MB, and 10,000 rows; texts are long.
+BATCH = "4m"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at a time, whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

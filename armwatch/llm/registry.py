@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armwatch.llm import byte_bpe, embedding_dedup, simhash
+from armwatch.llm import byte_bpe, embedding_dedup, quality_rules, simhash
 from armwatch.llm.common import bounded, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
+@query("op4_quality_rules", quality_rules.sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"),
+                                table(spark, sf_dir, "labels"))
+
+
 @query("op5_byte_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
