@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armwatch.llm import byte_bpe, embedding_dedup, quality_rules, simhash
+from armwatch.llm import (
+    byte_bpe, embedding_dedup, hilbert_sharding, quality_rules, simhash, source_mixing)
 from armwatch.llm.common import bounded, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +46,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_byte_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op7_source_mixing", source_mixing.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@query("op10_hilbert_sharding")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_sharding.sharded(table(spark, sf_dir, "documents"), shards=8)
