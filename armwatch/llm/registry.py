@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from armwatch.llm import (
-    byte_bpe, embedding_dedup, hilbert_sharding, quality_rules, simhash, source_mixing)
+    byte_bpe, embedding_dedup, hilbert_sharding, quality_rules, simhash, source_mixing,
+    toxicity)
 from armwatch.llm.common import bounded, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +57,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_hilbert_sharding")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_sharding.sharded(table(spark, sf_dir, "documents"), shards=8)
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
