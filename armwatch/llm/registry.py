@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from armwatch.llm import (
-    byte_bpe, embedding_dedup, hilbert_sharding, quality_rules, simhash, source_mixing,
+    byte_bpe, embedding_dedup, hilbert_sharding, pii, quality_rules, simhash, source_mixing,
     toxicity)
 from armwatch.llm.common import bounded, table
 
@@ -62,3 +63,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_toxicity")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_pii_crf")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.reported(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
