@@ -8,8 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from armwatch.llm import (
-    byte_bpe, embedding_dedup, hilbert_sharding, pii, quality_rules, simhash, source_mixing,
-    toxicity)
+    byte_bpe, embedding_dedup, hilbert_sharding, pii, quality_rules, relative_lz, simhash,
+    source_mixing, suffix_dedup, toxicity)
 from armwatch.llm.common import bounded, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.reported(table(spark, sf_dir, "documents"))
 
 
+@query("op8_suffix_array_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+@query("op9_relative_lz_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative_lz.deduplicated(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
