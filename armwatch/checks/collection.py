@@ -54,6 +54,18 @@ def _chosen(pop: str) -> str:
     return f"chosen AS (SELECT * FROM collections WHERE {pop})"
 
 
+_FLAGS = ("all_ae", "non_hyp", "hyp", "sig_hyp", "only_1.1")
+
+
+def _with_flags(rows: str, label: bool = False) -> str:
+    """Rows without ``n``, and the values of the severity flags of the whole table with theirs."""
+    site = "'overall' AS site, " if label else ""
+    counted = " UNION ALL ".join(
+        f"""SELECT {site}'{f}' AS variable, 'flags' AS metric, CAST({quoted(f)} AS DOUBLE) AS value,
+        count(*) AS n FROM chosen WHERE {quoted(f)} IS NOT NULL GROUP BY ALL""" for f in _FLAGS)
+    return f"SELECT *, CAST(NULL AS BIGINT) AS n FROM ({rows}) UNION ALL {counted}"
+
+
 for _strata, _pop in ((["site"], "itt"), (["group", "gender"], "mitt"), ([], "pp")):
     _name = "_".join(_strata) or "overall"
     register(f"collection_counts_{_name}",
@@ -64,8 +76,9 @@ for _strata, _pop in ((["site"], "itt"), (["group", "gender"], "mitt"), ([], "pp
                  _chosen(_pop), _devices("devices", _strata, _pop)))
     register(f"collection_measures_{_name}",
              lambda s, d, k=_strata, p=_pop: collection.plasma_summary(collections(s, d), k, p),
-             over_collections(_metrics("chosen", _strata, _MEASURES, bool(_strata)),
-                              _chosen(_pop)))
+             over_collections(
+                 _metrics("chosen", _strata, _MEASURES, True) if _strata else
+                 _with_flags(_metrics("chosen", [], _MEASURES, False)), _chosen(_pop)))
 
 register("collection_counts_complete_grid",
          lambda s, d: collection.count_summary(collections(s, d), ["site"], "itt", complete=True),
@@ -81,11 +94,11 @@ devices AS (
   GROUP BY g.site, g.dev_id)"""))
 
 register("collection_summary", lambda s, d: collection.summary(collections(s, d), ["site"], "itt"),
-         over_collections(" UNION ALL ".join((
+         over_collections(_with_flags(" UNION ALL ".join((
              _counts(["site"], "itt"), _metrics("devices", ["site"], _WEEKLY, True),
              _metrics("chosen", ["site"], _MEASURES, True),
              _counts([], "itt", True), _metrics("all_devices", [], _WEEKLY, False, True),
-             _metrics("chosen", [], _MEASURES, False, True))),
+             _metrics("chosen", [], _MEASURES, False, True))), True),
              _chosen("itt"), _devices("devices", ["site"], "itt"),
              _devices("all_devices", [], "itt")))
 
@@ -105,14 +118,13 @@ def _rounded_distribution(spark, sf_dir):
         F.sum("n").alias("n"))
 
 
-_FLAGS = {f: f'CAST("{f}" AS INT)' for f in ("all_ae", "non_hyp", "hyp", "sig_hyp", "only_1.1")}
 register("collection_distribution", _rounded_distribution, over_collections(
     "SELECT site, variable, metric, value, CAST(sum(n) AS BIGINT) AS n FROM ("
     "SELECT site, variable, metric, round(value, 6) AS value, n FROM ("
     + " UNION ALL ".join((
         _raw("site", _MEASURES, "raw_data", "site"),
         _raw("", _MEASURES, "raw_data", "'overall' AS site"),
-        _raw("", _FLAGS, "flags", "'overall' AS site"))) + ") UNION ALL "
+        _raw("", {f: f'CAST("{f}" AS INT)' for f in _FLAGS}, "flags", "'overall' AS site"))) + ") UNION ALL "
     "SELECT site, variable, metric, value, NULL FROM ("
     + _metrics("chosen", ["site"], _MEASURES, True) + " UNION ALL "
     + _metrics("chosen", [], _MEASURES, False, True) + ")) GROUP BY ALL", _chosen("mitt")))

@@ -201,7 +201,6 @@ days AS (SELECT site, strata1, day FROM totals UNION ALL
          SELECT site, strata1, last + CAST(k AS INTEGER) FROM line, range(1, 61) r(k)),
 fitted AS (SELECT site, strata1, day, base + slope * (day - DATE '1992-01-01') AS yhat, sd
            FROM days JOIN line USING (site, strata1) JOIN spread USING (site, strata1))"""))
-register("enrolment_model_projections_changepoint", lambda s, d: _model(s, d, "changepoint"))
 
 register("enrolment_level_grid", lambda s, d: complete_grid(
     enrolment.working_data(_data(s, d), BOTH, True), [*BOTH, "week"], ["value"]),

@@ -32,15 +32,6 @@ register("power_posterior_at_date", lambda s, d: power.posterior(
 
 
 # Planned arms of four times the current ones in steps of a tenth: both follow the table.
-def _simulate(samples: int, method: str):
-    def query(spark, sf_dir):
-        post = power.posterior(collections(spark, sf_dir))
-        return power.simulate(post, samples=samples, method=method, plan=8 * F.col("n_max"),
-                              step=F.ceil(F.col("n_max") / 10))
-    return query
-
-
-register("power_simulation", _simulate(50_000, "wald_cc"))
 register("power_sample_sizes", lambda s, d: power.sample_sizes(
     power.posterior(collections(s, d)), 8 * F.col("n_max"), F.ceil(F.col("n_max") / 10))
     .select("group_size", "n_max", "step", "plan"), over_collections("""

@@ -12,7 +12,7 @@ from armwatch.sources import tables
 from armwatch.sources.collections import (
     collections, dashboard_view, enrolment_view, profile_view, raw_view, safety_view, volume_view)
 from armwatch.sources.contract import (
-    AGE_BINS, AGE_LABELS, DASHBOARD, PLASMA, POWER, PROFILE, QUARTILES, 
+    AGE_BINS, AGE_LABELS, DASHBOARD, ENROLMENT, PLASMA, POWER, PROFILE, QUARTILES,
     RAW_SAFETY, SAFETY, VOLUMES)
 
 FLAGS = ("itt", "mitt", "pp", "all_ae", "non_hyp", "hyp", "sig_hyp", "only_1.1")
@@ -101,7 +101,7 @@ SELECT CASE WHEN speed <= s1 THEN 'q1' WHEN speed <= s2 THEN 'q2' WHEN speed <=
 FROM collections, (SELECT quantile_cont(speed, 0.25) AS s1, quantile_cont(speed, 0.5) AS s2,
                           quantile_cont(speed, 0.75) AS s3 FROM collections) GROUP BY 1"""))
 register("prepare_exact_quantiles", lambda s, d: quantiles.exact_quantiles(
-    collections(s, d), ["site"], ["speed", "actual_vol"], [0, .1, .5, .999, 1], levels=2),
+    collections(s, d), ["site"], ["speed", "actual_vol"], [0, .1, .5, .999, 1]),
     over_collections(" UNION ALL ".join(
         f"""SELECT site, '{m}' AS variable, CAST({p} AS DOUBLE) AS prob,
         round(quantile_cont({m}, {p}), 6) AS value FROM collections GROUP BY site"""
@@ -146,24 +146,48 @@ def _processed(spark, sf_dir, contract, view, file_format, month_of=None):
     return path
 
 
+_ENROLLED = """
+SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS "ENR_DATE",
+       CAST(o_custkey AS VARCHAR) AS "SUBJECT_ID",
+       concat('S', CAST(c_nationkey % 6 AS VARCHAR)) AS "SITE",
+       CASE WHEN o_custkey % 3 = 0 THEN 'female' ELSE 'male' END AS "STRATA1"
+FROM orders JOIN customer ON o_custkey = c_custkey"""
+
+
+def _enrolment_back(spark, sf_dir, file_format):
+    path = _scratch(spark)
+    table = enrolment_view(spark, sf_dir)
+    tables.save_rows(table.withColumn("ENR_DATE", col("ENR_DATE").cast("timestamp_ntz")), path,
+                     file_format)
+    reader = tables.read_csv if file_format == "csv" else tables.read_parquet
+    return reader(spark, path, ENROLMENT)
+
+
 def _csv_back(spark, sf_dir, contract, view):
     return tables.read_csv(spark, _processed(spark, sf_dir, contract, view, "csv"), contract)
 
 
 register("source_raw_csv", lambda s, d: _by_group(prepare.prepare_safety(_raw_csv(s, d)).data),
          _COUNT_SQL)
-register("source_safety_csv", lambda s, d: _by_group(_csv_back(s, d, SAFETY, safety_view)),
-         _COUNT_SQL)
+register("source_safety_csv", lambda s, d: _csv_back(s, d, SAFETY, safety_view),
+         over_collections(f"""SELECT {_IDS}, {_SPLIT}, age, bmi, weight_cat AS weight,
+                          {_names(FLAGS)}, {_names(CODES)} FROM collections"""))
 register("source_power_csv", lambda s, d: _by_group(_csv_back(s, d, POWER, safety_view)),
          _COUNT_SQL)
-register("source_plasma_csv", lambda s, d: _by_group(_csv_back(s, d, PLASMA, lambda t: t)),
-         _COUNT_SQL)
+register("source_plasma_csv", lambda s, d: _csv_back(s, d, PLASMA, lambda t: t).select(
+    "don_id", "col_id", "col_date", "dev_id", "proc_start", "proc_end", "target_vol", "actual_vol",
+    "duration_minutes", "speed", "yield", "yield_resid", "age", "bmi", "itt", "sig_hyp"),
+    over_collections(f"""SELECT {_IDS}, {_TIMES}, {_VOLUMES}, age, bmi, itt, sig_hyp
+                     FROM collections"""))
 register("source_profile_csv", lambda s, d: _by_group(_csv_back(s, d, PROFILE, profile_view)),
          _COUNT_SQL)
 register("source_volume_csv", lambda s, d: _csv_back(s, d, VOLUMES, volume_view).groupBy(
     "weight_cat").agg(F.count("*").alias("rows"), F.avg("hematocrit").alias("hematocrit")),
     over_collections("""SELECT weight_cat, count(*) AS rows, round(avg(hct), 6) AS hematocrit
                      FROM collections GROUP BY weight_cat"""))
+register("source_enrolment_parquet", lambda s, d: _enrolment_back(s, d, "parquet"),
+         _ENROLLED)
+register("source_enrolment_csv", lambda s, d: _enrolment_back(s, d, "csv"), _ENROLLED)
 register("source_dashboard_parquet", lambda s, d: tables.read_parquet(
     s, _processed(s, d, DASHBOARD, dashboard_view, "parquet"), DASHBOARD)
     .groupBy("trt_group").agg(F.count("donor_id").alias("rows"), F.sum("wd_fl").cast("bigint")

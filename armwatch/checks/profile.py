@@ -71,6 +71,14 @@ register("profile_chronology", lambda s, d: profile.chronology(_data(s, d)),
 register("profile_chronology_donor_list",
          lambda s, d: profile.chronology(_data(s, d), ["10", "11", "12", "13"]),
          _chronology_sql("don_id IN ('10', '11', '12', '13')"))
+register("profile_chronology_repeated_rows",
+         lambda s, d: profile.chronology(_data(s, d).unionByName(_data(s, d))).groupBy(
+             "donor_id").agg(F.sum("days_lag").alias("days_lag"),
+                             F.max("days_total").alias("days_total"), F.count("*").alias("rows")),
+         over_collections("""
+SELECT don_id AS donor_id, CAST(max(col_date) - min(col_date) AS BIGINT) AS days_lag,
+       CAST(max(col_date) - min(col_date) AS BIGINT) AS days_total, 2 * count(*) AS rows
+FROM collections GROUP BY don_id"""))
 register("profile_events_by_type",
          lambda s, d: profile.chronology(_data(s, d)).groupBy("event_type").agg(
              F.count(F.lit(1)).alias("n")),

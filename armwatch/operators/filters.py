@@ -38,13 +38,6 @@ def date_range(df: DataFrame, start: Day = None, end: Day = None, date: str = "c
     return out
 
 
-def category_levels(df: DataFrame, contract: Contract) -> dict[str, list[str]]:
-    """Sorted distinct values per category, from one pass (bounded by the number of levels)."""
-    names = [name for name in contract.names(CATEGORY) if name in df.columns]
-    row = df.agg(*(F.array_sort(F.collect_set(col(name))).alias(name) for name in names)).first()
-    return {name: list(row[name]) for name in names}
-
-
 def level_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``(variable, level)`` of the distinct values, as a distributed table."""
     long = df.select(*(col(name).cast("string").alias(name) for name in names)).unpivot(
@@ -77,8 +70,20 @@ def filter_rows(df: DataFrame, contract: Contract, start: Day = None, end: Day =
                 query: Mapping[str, str] | None = None, date: str = "col_date",
                 levels: Mapping[str, Sequence[str]] | None = None,
                 bounds: tuple[dt.date, dt.date] | None = None, strict: bool = True) -> DataFrame:
+    """Rows of a date range and of a selection as in ``predicate``. A level that the table does
+    not have raises ``ValueError``: known ``levels`` spare the job that looks the asked ones up."""
     out = date_range(df, start, end, date, bounds, strict)
-    return out.where(predicate(query, contract, levels)) if query else out
+    if not query:
+        return out
+    condition = predicate(query, contract, levels)
+    asked = {k: v for k, v in query.items() if k not in ROLE_NAMES}
+    if asked and levels is None:
+        seen = df.agg(*(F.coalesce(F.bool_or(col(k) == v), F.lit(False)).alias(k)
+                        for k, v in asked.items())).first()
+        unknown = {k: v for k, v in asked.items() if not seen[k]}
+        if unknown:
+            raise ValueError(f"The table has no such levels: {unknown}.")
+    return out.where(condition)
 
 
 def of_donors(df: DataFrame, donors: Sequence[str] | DataFrame | None,

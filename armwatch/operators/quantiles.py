@@ -1,9 +1,10 @@
 """Exact interpolated quantiles that never hold a whole group in one task.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer. Here the
-values are first collapsed to (value, count), shuffled on the value as well as the key so a
-group holding a third of all rows is spread over the cluster. The wanted ranks are then
-located by a histogram of fixed cells, and only the one cell around each rank is sorted.
+``percentile`` keeps every distinct value of a group in one aggregation buffer. Here the values
+are first collapsed to (value, count), shuffled on the value as well as the key, and then spread
+by ranges of (group, value): a group holding a third of all rows fills many partitions, whatever
+the distribution of its values. One sum per group and partition tells which partition holds a
+wanted rank, and only those partitions' rows of the group are cumulated.
 """
 
 from __future__ import annotations
@@ -15,9 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from armwatch.columns import col, cols
-
-CELLS = 4096    # histogram resolution per narrowing step
-SALT_BITS = 4   # one group's values are spread over 2^4 join partitions
+from armwatch.session import settled
 
 
 def value_frequencies(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -34,39 +33,43 @@ def value_frequencies(df: DataFrame, keys: Sequence[str], measures: Sequence[str
             .select("id.*", "value", "n"))
 
 
-def quantiles_of(freq: DataFrame, keys: Sequence[str], probs: Sequence[float],
-                 levels: int = 1) -> DataFrame:
+def quantiles_of(freq: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """``(keys, variable, prob, value)`` with linear interpolation between ranks.
 
-    ``levels`` (at least 1) histogram steps run before the final in-cell sort. One step suits bounded
-    measures; heavy-tailed ones gain from a second. The result is exact for any number.
-
-    ``freq`` is read once per step but computed once: the steps join on a struct of the keys,
-    which is never null, so no step gets filters of its own and all share one exchange.
+    The range partitions are settled on the shared folder, as both the sums and the cumulated
+    rows refer to them. ``id`` is a struct, so a null key is a group like any other.
     """
     probs = [float(p) for p in probs]
     position = {p: F.lit(p) * (F.col("total") - 1) for p in probs}
     ranks = F.array_distinct(F.array(*(edge(position[p]).cast("long")
                                        for p in probs for edge in (F.floor, F.ceil))))
-    rows = freq.select(F.struct(*cols([*keys, "variable"])).alias("id"), "value", "n")
-    spans = rows.groupBy("id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
-                                   F.sum("n").alias("total")).withColumn("below", F.lit(0))
-    # One histogram per group first; only then each wanted rank gets the cell that holds it.
-    inside = F.filter(ranks, lambda r: (r >= F.col("below")) & (r < F.col("reached")))
-    wanted = _cells(rows, spans, ["id"]).withColumn("rank", F.explode(inside)).drop("n", "reached")
-    for _ in range(levels - 1):
-        wanted = _holding_rank(_cells(rows, wanted, ["id", "rank"])).drop("n", "reached")
-    sorted_values = _cumulated(_candidates(rows, wanted), ["id", "rank"], "value")
-    found = _holding_rank(sorted_values).groupBy("id", "total").agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    rows = settled(freq.select(F.struct(*cols([*keys, "variable"])).alias("id"), "value", "n")
+                   .repartitionByRange("id", "value")
+                   .withColumn("part", F.spark_partition_id()))
+    group = W.partitionBy("id")     # one row per range partition
+    sums = rows.groupBy("id", "part").agg(F.sum("n").alias("here")).withColumns({
+        "total": F.sum("here").over(group),
+        "below": F.sum("here").over(group.orderBy("part")) - F.col("here")})
+    inside = F.filter(ranks, lambda r: (r >= F.col("below"))
+                      & (r < F.col("below") + F.col("here")))
+    holders = (sums.withColumn("ranks", inside).where(F.size("ranks") > 0)
+               .select("id", "part", "total", "below", "ranks"))
+    running = F.sum("n").over(W.partitionBy("id", "part").orderBy("value").rowsBetween(
+        W.unboundedPreceding, W.currentRow))
+    reached = rows.join(holders, ["id", "part"]).withColumn("reached", F.col("below") + running)
+    here = F.filter("ranks", lambda r: (r >= F.col("reached") - F.col("n"))
+                    & (r < F.col("reached")))
+    found = (reached.select("id", "total", "value", F.explode(here).alias("rank"))
+             .groupBy("id", "total").agg(
+                 F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")))
     return found.select("id", F.explode(F.array(*(
         F.struct(F.lit(p).alias("prob"), _interpolate(position[p]).alias("value"))
         for p in probs))).alias("q")).select("id.*", "q.prob", "q.value")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], measures: Sequence[str],
-                    probs: Sequence[float], levels: int = 1) -> DataFrame:
-    return quantiles_of(value_frequencies(df, keys, measures), keys, probs, levels)
+                    probs: Sequence[float]) -> DataFrame:
+    return quantiles_of(value_frequencies(df, keys, measures), keys, probs)
 
 
 def quantile_edges(df: DataFrame, measure: str, bins: int) -> Column:
@@ -80,35 +83,3 @@ def _interpolate(position: Column) -> Column:
     low = F.col("at")[F.floor(position).cast("long")]
     high = F.col("at")[F.ceil(position).cast("long")]
     return low + (high - low) * (position - F.floor(position))
-
-
-def _candidates(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Values inside the interval of each wanted rank; salted so no group meets one task."""
-    salt = F.shiftrightunsigned(F.xxhash64("value"), 64 - SALT_BITS)
-    salts = F.sequence(F.lit(0), F.lit(2 ** SALT_BITS - 1)).cast("array<bigint>")
-    spread = wanted.withColumn("salt", F.explode(salts))
-    return (rows.withColumn("salt", salt).join(spread, on=["id", "salt"])
-            .where(F.col("value").between(F.col("lo"), F.col("hi"))))
-
-
-def _cumulated(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
-    """Counts up to and including each row (``reached``) and before it (``below``)."""
-    running = F.sum("n").over(W.partitionBy(*by).orderBy(order).rowsBetween(
-        W.unboundedPreceding, W.currentRow))
-    return (rows.withColumn("reached", F.col("below") + running)
-            .withColumn("below", F.col("reached") - F.col("n")))
-
-
-def _holding_rank(rows: DataFrame) -> DataFrame:
-    return rows.where((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("reached")))
-
-
-def _cells(rows: DataFrame, spans: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Histogram of each interval, cumulated; a cell carries the range of its own values."""
-    span = F.col("hi") - F.col("lo")
-    cell = F.when(span > 0, F.least(F.floor((F.col("value") - F.col("lo")) / span * CELLS),
-                                    F.lit(CELLS - 1))).otherwise(0)
-    histogram = (_candidates(rows, spans).groupBy(*by, "total", "below", cell.alias("cell"))
-                 .agg(F.sum("n").alias("n"), F.min("value").alias("lo"),
-                      F.max("value").alias("hi")))
-    return _cumulated(histogram, by, "cell").drop("cell")

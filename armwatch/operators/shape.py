@@ -17,7 +17,12 @@ GRAND_TOTAL, SUBTOTAL, SEPARATOR, BLANK, OVERALL = (
 
 def level_grid(counts: DataFrame, strata: Sequence[str],
                levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Every combination of the strata's levels, from the levels seen in ``counts`` or given."""
+    """Every combination of the strata's levels, from the levels seen in ``counts`` or given.
+
+    Levels of several strata meet as arrays, so this is for categories, not for ids.
+    """
+    if levels is None and len(strata) == 1:
+        return counts.select(*cols(strata)).where(col(strata[0]).isNotNull()).distinct()
     seen = counts.agg(*(F.array_sort(F.collect_set(col(name))).alias(name) for name in strata))
     if levels is not None:
         seen = seen.withColumns({name: F.array(*map(F.lit, levels[name]))

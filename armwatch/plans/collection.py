@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 
 from armwatch.columns import col, cols, need_columns, need_member, percent
 from armwatch.operators.quantiles import quantiles_of, value_frequencies
-from armwatch.operators.shape import (
-    OVERALL, complete_grid, long_metrics, split_and_overall, with_overall)
+from armwatch.operators.shape import OVERALL, complete_grid, with_overall
+from armwatch.session import settled
 from armwatch.sources.contract import CATEGORY, PLASMA, POPULATION, SEVERITY, Contract
 
 MEASURES = ("target_vol", "actual_vol", "yield", "yield_resid", "duration_minutes", "speed")
@@ -30,25 +30,22 @@ def _check(data: DataFrame, strata: Sequence[str], pop: str, contract: Contract)
     need_columns(data, strata)
 
 
-def _moments(data: DataFrame, strata: Sequence[str], measures: Sequence[str],
-             overall: bool) -> DataFrame:
-    """Mean and spread per stratum and, with ``overall``, of the whole table: one scan."""
-    forms = {"mean": F.avg, "sample": F.stddev_samp, "population": F.stddev_pop}
-    aggregates = [form(col(m)).alias(f"{m}:{name}")
-                  for m in measures for name, form in forms.items()]
-    if overall:
-        table = split_and_overall(data, strata, aggregates)
-        whole = F.lit(True)
-        for name in strata:
-            whole = whole & (col(name) == OVERALL)
-    else:
-        table = data.groupBy(*cols(strata)).agg(*aggregates)
-        whole = F.lit(not strata)
-    metrics = {}
-    for m in measures:
-        metrics[(m, "mean")] = col(f"{m}:mean")
-        metrics[(m, "sd")] = F.when(whole, col(f"{m}:population")).otherwise(col(f"{m}:sample"))
-    return long_metrics(table, strata, metrics)
+def _moments(freq: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Mean and spread from frequencies, the squares centred on the mean.
+
+    ``id`` is a struct, so a null stratum joins like any other.
+    """
+    rows = freq.select(F.struct(*cols([*strata, "variable"])).alias("id"), "value", "n")
+    means = rows.groupBy("id").agg(F.sum("n").alias("total"),
+                                   (F.sum(col("value") * col("n")) / F.sum("n")).alias("mean"))
+    squares = (rows.join(means, "id").groupBy("id", "total", "mean").agg(
+        F.sum(col("n") * (col("value") - col("mean")) ** 2).alias("squares")))
+    divisor = col("total") - 1 if strata else col("total")
+    sd = F.when(divisor > 0, F.sqrt(col("squares") / divisor))
+    pairs = F.array(*(F.struct(F.lit(name).alias("metric"), value.alias("value"))
+                      for name, value in (("mean", col("mean")), ("sd", sd))))
+    return (squares.select("id", F.inline(pairs)).where(col("value").isNotNull())
+            .select("id.*", "metric", "value"))
 
 
 def _quantile_rows(freq: DataFrame, strata: Sequence[str]) -> DataFrame:
@@ -72,52 +69,95 @@ def _no_count(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.lit(None).cast("long"))
 
 
-def _distribution(data: DataFrame, strata: Sequence[str], measures: Sequence[str],
-                  raw: bool, overall: bool = False) -> DataFrame:
-    """Five metrics per measure; ``raw`` adds every value with its frequency."""
-    freq = value_frequencies(data, strata, measures)
-    quantile_rows, raw_rows = _quantile_rows(freq, strata), _raw_rows(freq, strata)
-    if overall:
-        whole = _whole_table(freq)
-        quantile_rows = with_overall(quantile_rows, _quantile_rows(whole, []), strata)
-        raw_rows = with_overall(raw_rows, _raw_rows(whole, []), strata)
-    out = _moments(data, strata, measures, overall).unionByName(quantile_rows)
-    return _no_count(out).unionByName(raw_rows) if raw else out
+def _distribution(freq: DataFrame, strata: Sequence[str], raw: bool) -> DataFrame:
+    """Five metrics per variable from its frequencies; ``raw`` adds every value with its own."""
+    out = _moments(freq, strata).unionByName(_quantile_rows(freq, strata))
+    return _no_count(out).unionByName(_raw_rows(freq, strata)) if raw else out
+
+
+def _measured(chosen: DataFrame, strata: Sequence[str], raw: bool, overall: bool,
+              contract: Contract) -> DataFrame:
+    """The measures per stratum and, with ``overall``, of the whole table; whole-table rows come
+    with the severity flags. The source is read once, for the frequencies of all of them."""
+    flags = [name for name in contract.names(SEVERITY) if name in chosen.columns]
+    shown = flags if overall or not strata else []
+    freq = settled(value_frequencies(
+        chosen.withColumns({name: col(name).cast("int") for name in shown}), strata,
+        [*MEASURES, *shown]))
+    split = freq.where(col("variable").isin(*MEASURES))
+    out = _distribution(split, strata, raw)
+    if not shown:
+        return out
+    out = out if raw else _no_count(out)
+    if strata:
+        whole = _distribution(_whole_table(split), [], raw)
+        out = with_overall(out, whole if raw else _no_count(whole), strata)
+    flagged = _raw_rows(_whole_table(freq.where(~col("variable").isin(*MEASURES))), [], "flags")
+    return out.unionByName(flagged.withColumns({name: F.lit(OVERALL) for name in strata}))
 
 
 def _visits(data: DataFrame, strata: Sequence[str]) -> DataFrame:
-    """Distinct (stratum, device, week, collection): every count below derives from it."""
-    return data.select(*cols([*strata, "dev_id", "week", "col_id"])).distinct()
+    """Distinct (stratum, device, week, collection): every count below derives from it, so the
+    source is read once."""
+    return settled(data.select(*cols([*strata, "dev_id", "week", "col_id"])).distinct())
+
+
+def _weekly(visits: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Distinct collections of each device and week."""
+    return visits.groupBy(*cols([*strata, "dev_id", "week"])).agg(
+        F.count_distinct("col_id").alias("collections"))
 
 
-def weekly_per_device(visits: DataFrame, strata: Sequence[str],
-                      complete: bool = False) -> DataFrame:
-    """Mean weekly number of distinct collections of each device.
+def weekly_per_device(visits: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Mean weekly number of distinct collections of each device, over the weeks it was used."""
+    return _weekly(visits, strata).groupBy(*cols([*strata, "dev_id"])).agg(
+        F.avg("collections").alias(WEEKLY))
 
-    Over the weeks the device was used; ``complete`` counts every stratum x device x week
-    combination, unused ones as 0.
+
+def _complete_weekly(visits: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Frequencies of the same mean over every stratum x device x week, unused ones as 0.
+
+    The mean is the sum over the number of weeks, and the unused devices of a stratum are one
+    row with their count: the product of devices and weeks is never built.
     """
-    keys = [*strata, "dev_id", "week"]
-    weekly = visits.groupBy(*cols(keys)).agg(F.count_distinct("col_id").alias("collections"))
-    if complete:
-        weekly = complete_grid(weekly, keys, ["collections"])
-    return weekly.groupBy(*cols([*strata, "dev_id"])).agg(F.avg("collections").alias(WEEKLY))
+    known = visits
+    for name in [*strata, "dev_id", "week"]:
+        known = known.where(col(name).isNotNull())
+    weekly = settled(_weekly(known, strata))
+    weeks = weekly.agg(F.count_distinct("week")).scalar()
+    devices = weekly.agg(F.count_distinct("dev_id")).scalar()
+    used = weekly.groupBy(*cols([*strata, "dev_id"])).agg(
+        (F.sum("collections") / weeks).alias("value"))
+    per_value = used.groupBy(*cols([*strata, "value"])).agg(F.count(F.lit(1)).alias("n"))
+    seen = used.groupBy(*cols(strata)).agg(F.count(F.lit(1)).alias("n"))
+    unused = complete_grid(seen, strata, ["n"]).select(
+        *cols(strata), F.lit(0.0).alias("value"), (devices - col("n")).alias("n"))
+    both = per_value.unionByName(unused.where(col("n") > 0))
+    return (both.groupBy(*cols([*strata, "value"])).agg(F.sum("n").alias("n"))
+            .select(*cols(strata), F.lit(WEEKLY).alias("variable"), "value", "n"))
+
+
+def _distinct(visits: DataFrame, strata: Sequence[str], name: str) -> DataFrame:
+    counted = visits.groupBy(*cols(strata)).agg(F.count_distinct(name).alias("value"))
+    return counted.select(*cols(strata), F.lit(name).alias("variable"), "value")
 
 
 def _counts(visits: DataFrame, strata: Sequence[str], raw: bool, complete: bool) -> DataFrame:
-    counts = visits.groupBy(*cols(strata)).agg(
-        F.count_distinct("col_id").alias("col_id"), F.count_distinct("dev_id").alias("dev_id"))
-    metrics = {(name, "nunique"): col(name) for name in ("col_id", "dev_id")}
+    counts = _distinct(visits, strata, "col_id").unionByName(_distinct(visits, strata, "dev_id"))
+    metrics = [("nunique", col("value").cast("double"))]
     if strata:
-        whole = W.partitionBy()      # one row per stratum
-        counts = counts.withColumns({
-            f"{name}:pct": percent(col(name), F.sum(col(name)).over(whole))
-            for name in ("col_id", "dev_id")})
-        metrics |= {(name, "pct_total"): col(f"{name}:pct") for name in ("col_id", "dev_id")}
-    counted = long_metrics(counts, strata, metrics)
-    devices = weekly_per_device(visits, strata, complete and bool(strata))
+        total = F.sum("value").over(W.partitionBy("variable"))      # one row per stratum
+        metrics.append(("pct_total", percent(col("value"), total)))
+    counted = counts.select(*cols(strata), "variable", F.array(*(
+        F.struct(F.lit(metric).alias("metric"), value.alias("value"))
+        for metric, value in metrics)).alias("m")).select(
+            *cols(strata), "variable", F.inline("m")).where(col("value").isNotNull())
+    if complete and strata:
+        freq = _complete_weekly(visits, strata)
+    else:
+        freq = value_frequencies(weekly_per_device(visits, strata), strata, [WEEKLY])
     return (_no_count(counted) if raw else counted).unionByName(
-        _distribution(devices, strata, [WEEKLY], raw))
+        _distribution(settled(freq), strata, raw))
 
 
 def count_summary(data: DataFrame, strata: Sequence[str] | None = None, pop: str = "itt",
@@ -130,38 +170,29 @@ def count_summary(data: DataFrame, strata: Sequence[str] | None = None, pop: str
     return _counts(_visits(data.where(col(pop)), strata), strata, raw, complete)
 
 
-def _flag_rows(chosen: DataFrame, contract: Contract) -> DataFrame:
-    """Values of each severity flag over the whole table, 1/0 with their counts."""
-    names = [name for name in contract.names(SEVERITY) if name in chosen.columns]
-    flags = value_frequencies(
-        chosen.select(*(col(name).cast("int").alias(name) for name in names)), [], names)
-    return _raw_rows(flags, [], "flags")
-
-
 def plasma_summary(data: DataFrame, strata: Sequence[str] | None = None, pop: str = "itt",
                    raw: bool = False, contract: Contract = PLASMA) -> DataFrame:
     """Mean, sd, median and 2.5/97.5 % quantiles of the six measures.
 
-    ``raw`` adds the whole distribution as ``(value, n)`` rows under metric ``raw_data``; without
-    strata also each severity flag's values (1/0 with their counts) under metric ``flags``.
+    ``raw`` adds the whole distribution as ``(value, n)`` rows under metric ``raw_data``. Without
+    strata each severity flag's values (1/0 with their counts ``n``) come under metric ``flags``.
     """
     strata = list(strata or [])
     _check(data, strata, pop, contract)
-    chosen = data.where(col(pop))
-    out = _distribution(chosen, strata, MEASURES, raw)
-    return out.unionByName(_flag_rows(chosen, contract)) if raw and not strata else out
+    return _measured(data.where(col(pop)), strata, raw, False, contract)
 
 
 def summary(data: DataFrame, strata: Sequence[str] = ("site",), population: str = "itt",
             contract: Contract = PLASMA) -> DataFrame:
-    """Counts and measures per stratum, together with the ``overall`` rows."""
+    """Counts and measures per stratum, together with the ``overall`` rows; ``n`` counts the
+    values of the severity flags and is null elsewhere."""
     strata = list(strata)
     _check(data, strata, population, contract)
     chosen = data.where(col(population))
     visits = _visits(chosen, strata)
     counts = with_overall(_counts(visits, strata, False, False),
                           _counts(visits, [], False, False), strata)
-    return counts.unionByName(_distribution(chosen, strata, MEASURES, False, overall=True))
+    return _no_count(counts).unionByName(_measured(chosen, strata, False, True, contract))
 
 
 def distribution(data: DataFrame, strata: Sequence[str] = ("site",), population: str = "itt",
@@ -169,10 +200,7 @@ def distribution(data: DataFrame, strata: Sequence[str] = ("site",), population:
     """Measures with their whole distribution per stratum, together with ``overall``."""
     strata = list(strata)
     _check(data, strata, population, contract)
-    chosen = data.where(col(population))
-    out = _distribution(chosen, strata, MEASURES, True, overall=True)
-    labelled = _flag_rows(chosen, contract).withColumns({k: F.lit(OVERALL) for k in strata})
-    return out.unionByName(labelled)
+    return _measured(data.where(col(population)), strata, True, True, contract)
 
 
 __all__ = ["MEASURES", "OVERALL", "WEEKLY", "count_summary", "distribution", "plasma_summary",

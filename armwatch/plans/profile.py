@@ -63,22 +63,24 @@ def chronology(data: DataFrame, donors: Donors = None, contract: Contract = PROF
 
     Lags are whole days, so only a donor's distinct days matter: they are at most one row per
     calendar day, which keeps the window small even for a donor holding a third of all rows.
-    The gap to the previous day belongs to the first collection of the day; later ones have 0.
+    The gap to the previous day belongs to the first collection of the day; later ones, exact
+    repeats included, have 0. Without a donor or a date both figures are null.
     """
     chosen = of_donors(data, donors)
-    detail = [name for name in _CHRONOLOGY if name not in ("don_id", "col_date")]
     codes = contract.event_codes("all_ae", data.columns)
-    rows = chosen.select(*cols(_CHRONOLOGY), event_names(codes).alias("event_type"))
-    place = F.struct(*cols(["proc_start", "col_id", "dev_id",
-                            *(name for name in detail if name not in
-                              ("proc_start", "col_id", "dev_id"))]), col("event_type"))
-    days = rows.groupBy("don_id", "col_date").agg(F.min(place).alias("opening"))
+    days = (chosen.where(col("don_id").isNotNull() & col("col_date").isNotNull())
+            .select("don_id", "col_date").distinct())
     by_donor = W.partitionBy("don_id").orderBy("col_date")
     days = days.withColumns({
         "days_total": F.date_diff("col_date", F.first("col_date").over(by_donor)),
         "gap": F.coalesce(F.date_diff("col_date", F.lag("col_date").over(by_donor)), F.lit(0))})
-    joined = rows.join(days, on=["don_id", "col_date"])
-    return joined.select(
+    first = ["proc_start", "col_id", "dev_id"]
+    order = first + [name for name in _CHRONOLOGY if name not in (*first, "don_id", "col_date")]
+    unknown = F.when(col("don_id").isNull() | col("col_date").isNull(), F.xxhash64(*cols(first)))
+    donor_day = W.partitionBy("don_id", "col_date", unknown).orderBy(*cols(order), "event_type")
+    rows = chosen.select(*cols(_CHRONOLOGY), event_names(codes).alias("event_type")).withColumn(
+        "place", F.row_number().over(donor_day))
+    return rows.join(days, on=["don_id", "col_date"], how="left").select(
         *(col(name).alias(out) for name, out in _CHRONOLOGY.items()), "days_total",
-        F.when(place == F.col("opening"), col("gap")).otherwise(0).alias("days_lag"),
+        F.when(col("place") == 1, col("gap")).when(col("gap").isNotNull(), 0).alias("days_lag"),
         "event_type")

@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armwatch.columns import col
-from armwatch.operators.prepare import derived_measures, fixed_bins, quantile_bins
+from armwatch.operators.prepare import fixed_bins, quantile_bins, with_measures
 from armwatch.sources.contract import (
     AGE_BINS, AGE_LABELS, BMI_BINS, BMI_LABELS, HCT_BINS, HCT_LABELS, QUARTILES)
-from armwatch.sources.tables import spread_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,12 +69,11 @@ def collections(spark: SparkSession, sf_dir: str, quartiles: bool = False) -> Da
 
     ``quartiles`` adds ``weight_cat``, which takes one more pass for the exact quartiles.
     """
-    lines = spread_out(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
-    joined = (lines
+    joined = (_table(spark, sf_dir, "lineitem")
               .join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
               .join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")))
     base = joined.selectExpr(*_named(_BASE)).selectExpr("*", *_named(_DERIVED))
-    derived = derived_measures(base.drop("discount", "minutes")).withColumns({
+    derived = with_measures(base.drop("discount", "minutes")).withColumns({
         "age": fixed_bins(col("age_num"), AGE_BINS, AGE_LABELS),
         "bmi": fixed_bins(col("bmi_num"), BMI_BINS, BMI_LABELS),
     })

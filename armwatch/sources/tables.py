@@ -9,6 +9,11 @@ from armwatch.columns import col, cols
 from armwatch.sources.contract import ID, VOLUME, Contract
 
 
+#: Each file's header is held against the schema, and malformed values fail instead of
+#: turning into nulls.
+STRICT_CSV = {"header": True, "enforceSchema": False, "mode": "FAILFAST"}
+
+
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Names on the first line as written, duplicates included (reads one row)."""
     first = spark.read.option("header", False).csv(path).first()
@@ -20,12 +25,13 @@ def read_csv(spark: SparkSession, path: str, contract: Contract, raw: bool = Fal
 
     ``raw=True`` reads a study export (raw header names, text dates and Yes/No flags);
     otherwise the file is an analysis table under standard names. Measures equal to
-    their null token come back as null.
+    their null token come back as null. Every file of a folder must have the same header in
+    the same order, and a value that is not of its column's type fails the scan.
     """
     header = csv_header(spark, path)
     contract.check(header, raw)
     table = (spark.read.schema(contract.struct(header, raw))
-             .option("header", True).option("enforceSchema", True)
+             .options(**STRICT_CSV)
              .csv(path)
              .select(*cols(contract.selected(header, raw))))
     return table if raw else null_tokens(table, contract)
@@ -46,19 +52,6 @@ def read_parquet(spark: SparkSession, path: str, contract: Contract) -> DataFram
     return table.select(*cols(contract.selected(table.columns)))
 
 
-def spread_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core on input that splits into fewer partitions than there are cores.
-
-    A Parquet file is split by row group only, so a small table may arrive as one busy task. A
-    table of many row groups already has more partitions than cores and is left as it is: no
-    shuffle is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *cols(keys))
-
-
 def refresh(spark: SparkSession, path: str, contract: Contract,
             old: DataFrame | None = None, file_format: str = "parquet") -> DataFrame:
     """Reload after the files changed: drop the old cache and file listing, then read again."""
@@ -78,11 +71,13 @@ def raw_data(df: DataFrame, contract: Contract, date: str = "col_date") -> DataF
 def save_rows(df: DataFrame, path: str, file_format: str = "parquet", mode: str = "error",
               month_of: str | None = None) -> None:
     """Write rows. ``month_of`` names a date column: one folder per month, so that date
-    filters prune whole folders."""
+    filters prune whole folders. Rows are spread by ranges of (month, hash of the row), so a
+    folder gets few files and a busy month still has several writers."""
     writer = df
     if month_of is not None:
         writer = df.withColumn("month", F.date_format(F.date_trunc("month", col(month_of)),
                                                       "yyyy-MM"))
+        writer = writer.repartitionByRange("month", F.xxhash64(*cols(df.columns)))
     out = writer.write.mode(mode)
     if month_of is not None:
         out = out.partitionBy("month")
@@ -95,5 +90,5 @@ def save_missing(missing: DataFrame, path: str, file_format: str = "parquet",
                  mode: str = "error") -> None:
     """Write rejected rows; ``KeyError`` if there are none."""
     if missing.isEmpty():
-        raise KeyError("No missing data was found.")
+        raise KeyError("There are no rejected rows to write; skip this call.")
     save_rows(missing, path, file_format, mode)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from armwatch.operators.prepare import prepare_plasma, prepare_profile, prepare_safety
 from armwatch.sources.contract import RAW_PLASMA, RAW_PROFILE, RAW_SAFETY
-from armwatch.sources.tables import save_rows
+from armwatch.sources.tables import STRICT_CSV, save_rows
 
 _MODULES = {"safety": (prepare_safety, RAW_SAFETY), "plasma": (prepare_plasma, RAW_PLASMA),
             "profile": (prepare_profile, RAW_PROFILE)}
@@ -36,6 +36,6 @@ def refresh_from_files(spark: SparkSession, module: str, source: str, header: Se
         save_rows(rejected, f"{missing}/batch={batch_id}", mode="overwrite")
 
     stream = (spark.readStream.schema(contract.struct(header, raw=True))
-              .option("header", True).csv(source))
+              .options(**STRICT_CSV).csv(source))
     (stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())

@@ -10,12 +10,8 @@ import json
 import os
 import time
 
-from pyspark.sql import functions as F
-
 from armwatch.checks import QUERIES
-from armwatch.plans import power
 from armwatch.session import local_session
-from armwatch.sources.collections import collections
 
 HEADLINE = (
     "safety_summary_donation safety_summary_risk safety_summary_events "
@@ -25,26 +21,17 @@ HEADLINE = (
     "enrolment_model_projections_linear profile_demographics profile_collections "
     "profile_chronology collection_counts_site collection_measures_site collection_summary "
     "collection_distribution volume_collection_summary volume_comparative_gain_gender "
-    "volume_longitudinal_week power_posterior power_simulation dashboard_donations "
+    "volume_longitudinal_week power_posterior dashboard_donations "
     "dashboard_all_demographics dashboard_metrics prepare_safety prepare_plasma prepare_profile"
 ).split()
 
 
-def large_simulation(spark, sf_dir):
-    """Fifty arm sizes x 200,000 draws."""
-    post = power.posterior(collections(spark, sf_dir))
-    step = F.ceil(F.col("n_max") / 49)
-    return power.simulate(post, samples=200_000, plan=4 * F.col("n_max"), step=step)
-
-
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session("armwatch-bench", os.environ.get("BENCH_CPUS", "8"))
     chosen = os.environ.get("BENCH_QUERIES", "")
     names = (list(QUERIES) if chosen == "all" else chosen.split(",") if chosen else HEADLINE)
     queries = {name: QUERIES[name] for name in names}
-    if not chosen or chosen == "all":
-        queries["power_simulation_50x200k"] = large_simulation
     QUERIES["safety_summary_risk"](spark, sf_dir).collect()      # start-up is not measured
     times = {}
     for name, query in queries.items():

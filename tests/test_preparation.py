@@ -106,7 +106,8 @@ def test_analysis_csv_types(spark, tmp_path):
     path, header = tmp_path / "plasma.csv", PLASMA.names()
     values = {"col_date": "2020-02-03", "week": "2020-02-03", "proc_start": "2020-02-03 08:15:00",
               "proc_end": "2020-02-03 09:00:00", "target_vol": "800", "actual_vol": "0",
-              "duration_minutes": "45", "speed": "0", "itt": "True", "pp": "False"}
+              "duration_minutes": "45", "speed": "0", "yield": "1", "yield_resid": "0",
+              "itt": "True", "pp": "False"}
     path.write_text(",".join(header) + "\n"
                     + ",".join(values.get(name, "1" if "vol" in name else "true") for name in header))
     row = tables.read_csv(spark, str(path), PLASMA).first()
@@ -146,3 +147,53 @@ def test_refresh_reads_new_files_once(spark, raw, tmp_path):
     assert lost == prepare.prepare_plasma(raw).missing.count()
     RAW_PLASMA.check(header, raw=True)
     RAW_SAFETY.check(header, raw=True)
+
+
+def _line(header, **values):
+    row = {"don_id": "d", "col_date": "2020-02-03", "week": "2020-02-03",
+           "proc_start": "2020-02-03 08:15:00", "proc_end": "2020-02-03 09:00:00",
+           **{name: "1" for name in header if "vol" in name or name in (
+               "speed", "yield", "yield_resid", "duration_minutes")}, **values}
+    return ",".join(header) + "\n" + ",".join(row.get(name, "true") for name in header) + "\n"
+
+
+def test_every_file_of_a_folder_has_the_header(spark, tmp_path):
+    header = PLASMA.names()
+    swapped = [{"target_vol": "actual_vol", "actual_vol": "target_vol"}.get(n, n) for n in header]
+    (tmp_path / "a.csv").write_text(_line(header, target_vol="800", actual_vol="700"))
+    assert tables.read_csv(spark, str(tmp_path), PLASMA).first().actual_vol == 700
+    (tmp_path / "b.csv").write_text(_line(swapped, target_vol="800", actual_vol="700"))
+    with pytest.raises(Exception, match="header"):
+        tables.read_csv(spark, str(tmp_path), PLASMA).collect()
+
+
+def test_malformed_number_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(_line(PLASMA.names(), target_vol="oops"))
+    with pytest.raises(Exception, match="oops|MALFORMED"):
+        tables.read_csv(spark, str(tmp_path), PLASMA).collect()
+
+
+def test_complete_cases_on_load(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(_line(PLASMA.names()))
+    (tmp_path / "b.csv").write_text(_line(PLASMA.names(), actual_vol="0"))
+    data, missing = prepare.load_complete(spark, str(tmp_path), PLASMA, "csv")
+    assert data.count() == missing.count() == 1
+
+
+def test_order_of_times_is_asserted_by_any_use(raw):
+    wrong = raw.withColumn("PROCEDURE_END", F.col("PROCEDURE_START"))
+    data = prepare.prepare_plasma(wrong, edges={"weight": [1., 2., 3.]}).data
+    for use in (data.count, data.select("yield").collect):
+        with pytest.raises(Exception, match="proc_end"):
+            use()
+    unknown = raw.withColumn("PROCEDURE_END", F.lit(None).cast("string"))
+    data = prepare.prepare_plasma(unknown, na_filter=False, edges={"weight": [1., 2., 3.]}).data
+    assert data.where("duration_minutes IS NULL").count() == raw.count()
+
+
+def test_unknown_level_is_an_error(spark, sf_dir):
+    from armwatch.operators.filters import filter_rows
+    data = collections(spark, sf_dir)
+    with pytest.raises(ValueError, match="nowhere"):
+        filter_rows(data, SAFETY, query={"site": "nowhere", "POP": "pp"})
+    assert filter_rows(data, SAFETY, query={"gender": "male"}).count() > 0

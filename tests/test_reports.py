@@ -189,6 +189,10 @@ def test_chronology_of_one_busy_day(spark, sf_dir):
     found = profile.chronology(together).orderBy("collection_id").collect()
     assert [r.days_total for r in found] == [0, 3, 3, 8]
     assert [r.days_lag for r in found] == [0, 3, 0, 5]
+    twice = profile.chronology(together.unionByName(together))
+    assert twice.count() == 8 and twice.agg(F.sum("days_lag")).first()[0] == 8
+    nobody = together.withColumn("don_id", F.lit(None).cast("string"))
+    assert [r.days_lag for r in profile.chronology(nobody).collect()] == [None] * 4
 
 
 def test_nomogram_is_capped_and_gain_has_the_sign_of_the_mean(spark, sf_dir):
