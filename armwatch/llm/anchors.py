@@ -4,8 +4,9 @@ A window of W elements holds W - k + 1 grams of k elements; its anchor is the gr
 smallest hash, the first of equals. Equal windows have equal anchors at equal places, so windows
 need comparing only within the bucket of an anchor. Consecutive windows mostly share an anchor:
 such a run is kept as one stretch. Only stretches whose anchor occurs in two different texts, or
-twice in one, are put out; anchors are counted as (anchor, text) pairs with partial sums. Copies
-of a text are one text, so that a hot group of copies costs one text. Texts are told apart by
+twice in one, are put out: (anchor, text) pairs are sorted once, and those of shared anchors go
+back to their texts. A text holds an anchor once, so a passage that a third of all texts share is
+a small part of the pairs. Copies of a text are one text in the buckets. Texts are told apart by
 64-bit hashes.
 """
 
@@ -104,6 +105,33 @@ def _anchor_rows(elements: Elements, window: int, gram: int):
     return run
 
 
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (anchor, content) those whose anchor has another content, once each.
+
+    A row shows this by its neighbours, so only the last row of a batch waits for the next one.
+    """
+    waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def put(anchor: np.ndarray, content: np.ndarray, shown: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({"anchor": anchor[shown], "content": content[shown]})
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor = np.r_[waiting[0], batch.column("anchor").to_numpy()]
+        content = np.r_[waiting[1], batch.column("content").to_numpy()]
+        new = np.r_[True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]
+        anchor, content = anchor[new], content[new]
+        shown = np.zeros(len(anchor), bool)
+        shown[:len(waiting[2])] = waiting[2]
+        same = anchor[1:] == anchor[:-1]
+        shown[1:] |= same
+        shown[:-1] |= same
+        yield put(anchor[:-1], content[:-1], shown[:-1])
+        waiting = anchor[-1:], content[-1:], shown[-1:]
+    yield put(*waiting)
+
+
 def _stretch_rows(elements: Elements, window: int, gram: int, packed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,11 +198,9 @@ def repeated_spans(docs: DataFrame, elements: Elements, window: int, gram: int,
                                                 F.count("*").alias("n")))
     anchors = rows.select("text", "content").mapInArrow(
         _anchor_rows(elements, window, gram), "anchor long, content long")
-    shared = settled(anchors.groupBy("anchor").agg(F.min("content").alias("lo"),
-                                                   F.max("content").alias("hi"))
-                     .where("lo <> hi").select("anchor"))
-    lists = (anchors.join(shared, "anchor", "left_semi").groupBy("content")
-             .agg(F.collect_set("anchor").alias("anchors")))
+    shared = (anchors.repartition("anchor").sortWithinPartitions("anchor", "content")
+              .mapInArrow(_shared_rows, "anchor long, content long"))
+    lists = shared.groupBy("content").agg(F.collect_list("anchor").alias("anchors"))
     wanted = stored(firsts.join(lists, "content", "left")
                     .select("content", F.col("first").alias("id"), "first", "n", "anchors"))
     pieces = (rows.join(wanted, ["content", "id"]).select("text", "first", "anchors")
