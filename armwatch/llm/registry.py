@@ -8,8 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from armwatch.llm import (
-    byte_bpe, embedding_dedup, hilbert_sharding, pii, quality_qda, quality_rules, relative_lz,
-    simhash, source_mixing, suffix_dedup, toxicity)
+    byte_bpe, embedding_dedup, hilbert_sharding, periodic_runs, pii, quality_qda, quality_rules,
+    relative_lz, simhash, source_mixing, suffix_dedup, toxicity)
 from armwatch.llm.common import bounded, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative_lz.deduplicated(table(spark, sf_dir, "documents"))
 
 
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.reported(
+        periodic_runs.with_planted_runs(table(spark, sf_dir, "documents")))
+
+
 @query("op13_quality_qda")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
