@@ -201,8 +201,10 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
         return F.array_join(F.transform(place, lambda i: F.get(all_words, F.when(
             i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
 
+    # the words are a variable of a lambda: else each element cuts the text anew
+    once = F.get(F.transform(F.array(words), turned), F.lit(0))
     return docs.withColumn("text", F.when(
-        (digest % 10 == 0) & text_of().rlike(WORD), turned(words)).otherwise(text_of()))
+        (digest % 10 == 0) & text_of().rlike(WORD), once).otherwise(text_of()))
 
 
 def reported(docs: DataFrame) -> DataFrame:
