@@ -84,13 +84,17 @@ def statistics_of(texts: pa.Array) -> pa.Array:
     return pa.array([statistics(t.as_py()) for t in texts], pa.list_(pa.int64()))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(fold, quality, x) of every labelled row outside the held-out part."""
+def vectors(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): the texts are read once, here; what follows reads the vectors only."""
+    return stored(docs.select("doc_id", statistics_of(F.col("text")).alias("x")))
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(fold, quality, x) of every labelled row of vectors outside the held-out part."""
     known = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(
         F.max("quality").cast("int").alias("quality"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
     fold = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FOLDS)).cast("int")
-    return rows.select(fold.alias("fold"), "quality", statistics_of("text").alias("x"))
+    return rows.join(known, "doc_id").select(fold.alias("fold"), "quality", "x")
 
 
 def moments(rows: DataFrame) -> dict[tuple[int, int], tuple[int, np.ndarray, np.ndarray]]:
@@ -171,9 +175,9 @@ def curve(bins: list[tuple[float, int, int]], steps: int = 50) -> tuple[float, f
     return max(w[0], 0.0) / 10, float(w[1]), float(loss)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The discriminant and its curve, or None without labels of both classes."""
-    rows = stored(labelled(docs, labels))
+def fit(rows: DataFrame, labels: DataFrame) -> dict | None:
+    """The discriminant and its curve from ``vectors``, or None without labels of both classes."""
+    rows = stored(labelled(rows, labels))
     sums = moments(rows)
     folds = sorted({fold for fold, _ in sums})
 
@@ -209,26 +213,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
             "slope": curves[best][0], "constant": curves[best][1]}
 
 
-def score_of(text: Column, model: dict | None) -> Column:
-    """Probability that a text is of quality 1."""
+def score_of(x: Column, model: dict | None) -> Column:
+    """Probability that a text with these statistics is of quality 1."""
     if model is None:
         return F.lit(.5)
     held = json.dumps([model["classes"]])
     slope, constant = model["slope"], model["constant"]
 
     @F.arrow_udf(T.DoubleType())
-    def scores(texts: pa.Array) -> pa.Array:
-        x = np.array([statistics(t.as_py()) for t in texts], float).reshape(-1, len(NAMES))
-        x = difference(x / UNIT, loaded(held)[0]) * slope + constant
-        return pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))
+    def scores(rows: pa.Array) -> pa.Array:
+        own = np.array(rows.to_pylist(), float).reshape(-1, len(NAMES)) / UNIT
+        logit = difference(own, loaded(held)[0]) * slope + constant
+        return pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
     # else each expression that reads the score computes it anew
-    return scores.asNondeterministic()(text)
+    return scores.asNondeterministic()(x)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = .7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    model = fit(docs, labels)
-    return (docs.select("doc_id", held_out().alias("held_out"),
-                        score_of(F.col("text"), model).alias("score"))
+    rows = vectors(docs)
+    model = fit(rows, labels)
+    return (rows.select("doc_id", held_out().alias("held_out"),
+                        score_of(F.col("x"), model).alias("score"))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))

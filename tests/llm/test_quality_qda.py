@@ -49,12 +49,13 @@ def test_held_out_labels_are_not_read(spark):
     turned = spark.createDataFrame(
         [(r.doc_id, 1 - (r.quality or 0) if outside(r.doc_id) else r.quality, r.toxic)
          for r in labels.collect()], labels.schema)
-    assert op.fit(df, labels) == op.fit(df.repartition(7), turned.repartition(5))
+    assert op.fit(op.vectors(df), labels) == op.fit(op.vectors(df.repartition(7)),
+                                                    turned.repartition(5))
 
 
 def test_same_as_plain_moments_and_densities(spark):
     df, labels = docs(spark)
-    model = op.fit(df, labels)
+    model = op.fit(op.vectors(df), labels)
     known = {r.doc_id: r.quality for r in labels.collect()
              if r.quality is not None and not outside(r.doc_id)}
     rows = [(known[r.doc_id], op.statistics(r.text)) for r in df.collect() if r.doc_id in known]
