@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from armwatch.llm.common import WORD, fresh, text_of
+from armwatch.llm.common import fresh, text_of
 
 LEAST, TIMES = 6, 4
 #: Rounds of cutting by rare words; those left over cost time only.
@@ -189,22 +189,22 @@ def with_runs(df: DataFrame, text: str = "text", runs: str = "runs", collapsed:
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """``text`` with a periodic end in a tenth of the documents, chosen by a digest of doc_id:
     from word a on, word i becomes word a + (i - a) mod p. A null doc_id changes nothing."""
+    @F.arrow_udf("string")
+    def turned(texts: pa.Array, digests: pa.Array) -> pa.Array:
+        out = []
+        for t, h in zip(texts.to_pylist(), digests.to_pylist()):
+            words = t.encode().split() if h is not None and h % 10 == 0 else []
+            if words:
+                n, g = len(words), h // 10
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                words[a:] = [words[a + i % p] for i in range(n - a)]
+                t = b" ".join(words).decode()
+            out.append(t)
+        return pa.array(out, pa.string())
+
     digest = F.crc32(F.col("doc_id").cast("string"))
-    g = F.floor(digest / 10).cast("long")
-    words = F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0))
-
-    def turned(all_words: Column) -> Column:
-        n = F.size(all_words).cast("long")
-        a = F.pmod(g, n)
-        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-        place = F.sequence(F.lit(0).cast("long"), n - 1)
-        return F.array_join(F.transform(place, lambda i: F.get(all_words, F.when(
-            i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
-
-    # the words are a variable of a lambda: else each element cuts the text anew
-    once = F.get(F.transform(F.array(words), turned), F.lit(0))
-    return docs.withColumn("text", F.when(
-        (digest % 10 == 0) & text_of().rlike(WORD), once).otherwise(text_of()))
+    return docs.withColumn("text", turned(text_of(), digest))
 
 
 def reported(docs: DataFrame) -> DataFrame:
