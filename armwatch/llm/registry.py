@@ -8,8 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from armwatch.llm import (
-    byte_bpe, embedding_dedup, hilbert_sharding, periodic_runs, pii, quality_qda, quality_rules,
-    relative_lz, simhash, source_mixing, suffix_dedup, toxicity)
+    byte_bpe, conversation_repair, embedding_dedup, hilbert_sharding, periodic_runs, pii,
+    quality_qda, quality_rules, relative_lz, simhash, source_mixing, suffix_dedup, toxicity)
 from armwatch.llm.common import bounded, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative_lz.deduplicated(table(spark, sf_dir, "documents"))
 
 
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.reported(table(spark, sf_dir, "conversations"))
+
+
 @query("op12_periodic_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.reported(
