@@ -202,6 +202,71 @@ days AS (SELECT site, strata1, day FROM totals UNION ALL
 fitted AS (SELECT site, strata1, day, base + slope * (day - DATE '1992-01-01') AS yhat, sd
            FROM days JOIN line USING (site, strata1) JOIN spread USING (site, strata1))"""))
 
+# The same segmentation with the errors of all stretches taken by regression over their rows.
+_LEVELS = 6
+_SEGMENTED = (
+    """
+daily AS (SELECT site, strata1, CAST(enr_date AS DATE) AS day, count(*) AS c
+          FROM enrolment GROUP BY ALL),
+totals AS (SELECT site, strata1, day,
+                  CAST(day - min(day) OVER (PARTITION BY site, strata1) AS DOUBLE) AS x,
+                  CAST(sum(c) OVER (PARTITION BY site, strata1 ORDER BY day) AS DOUBLE) AS y,
+                  row_number() OVER (PARTITION BY site, strata1 ORDER BY day) AS r,
+                  count(*) OVER (PARTITION BY site, strata1) AS n FROM daily),
+marks AS (SELECT DISTINCT site, strata1, n,
+                 CASE WHEN i = 26 THEN n
+                      ELSE CAST(floor(CAST(0.8 AS DOUBLE) * i / 25 * n) AS BIGINT) END AS r
+          FROM (SELECT DISTINCT site, strata1, n FROM totals), range(0, 27) g(i)),
+pieces AS (
+  SELECT a.site, a.strata1, a.r AS a, b.r AS b, a.n,
+         coalesce(regr_slope(t.y, t.x), 0) AS slope, avg(t.x) AS mean_x, avg(t.y) AS mean_y,
+         greatest(coalesce(regr_syy(t.y, t.x) - coalesce(regr_slope(t.y, t.x), 0)
+                           * regr_sxy(t.y, t.x), 0), 0) AS sse
+  FROM marks a JOIN marks b ON a.site = b.site AND a.strata1 = b.strata1
+    AND (b.r >= a.r + 2 OR (a.r = 0 AND b.r = a.n))
+  JOIN totals t ON t.site = a.site AND t.strata1 = a.strata1 AND t.r > a.r AND t.r <= b.r
+  GROUP BY ALL),
+best1 AS (SELECT site, strata1, n, b, sse, [a] AS path FROM pieces WHERE a = 0)""",
+    *(f"""
+best{k} AS (SELECT site, strata1, n, b, sse, path FROM (
+  SELECT p.site, p.strata1, p.n, p.b, h.sse + p.sse AS sse, list_append(h.path, p.a) AS path,
+         row_number() OVER (PARTITION BY p.site, p.strata1, p.b
+                            ORDER BY h.sse + p.sse, list_append(h.path, p.a)) AS place
+  FROM best{k - 1} h JOIN pieces p ON p.site = h.site AND p.strata1 = h.strata1 AND p.a = h.b)
+  WHERE place = 1)""" for k in range(2, _LEVELS + 1)),
+    f"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY site, strata1 ORDER BY
+             n * ln(greatest(sse / n, 1e-9)) + (3 * k - 1) * ln(n), k, path) AS place
+           FROM ({" UNION ALL ".join(f"SELECT *, {k} AS k FROM best{k}"
+                                     for k in range(1, _LEVELS + 1))}) WHERE b = n),
+edges AS (SELECT site, strata1, sse AS total, k, unnest(path) AS a,
+                 unnest(list_append(path[2:], n)) AS b FROM ranked WHERE place = 1),
+lines AS (SELECT p.*, total, k, sqrt(total / greatest(n - 2 * k, 1)) AS sd
+          FROM pieces p JOIN edges e USING (site, strata1, a, b)),
+days AS (SELECT site, strata1, day, x, r FROM totals UNION ALL
+         SELECT site, strata1, day + CAST(k AS INTEGER), x + k, n
+         FROM totals, range(1, 61) g(k) WHERE r = n),
+fitted AS (SELECT d.site, d.strata1, d.day, mean_y + slope * (x - mean_x) AS yhat, sd
+           FROM days d JOIN lines l ON d.site = l.site AND d.strata1 = l.strata1
+             AND d.r > l.a AND d.r <= l.b)""")
+
+register("enrolment_model_projections_changepoint",
+         lambda s, d: _model(s, d, "changepoint"), _sql("""
+SELECT CAST(day AS VARCHAR) AS day, round(yhat - 1.2815515655446004 * sd, 6) AS yhat_lower,
+       round(yhat + 1.2815515655446004 * sd, 6) AS yhat_upper, round(yhat, 6) AS yhat,
+       site AS "SITE", strata1 AS "STRATA1" FROM fitted
+WHERE day <= (SELECT coalesce(min(day), DATE '9999-12-31') FROM (
+                SELECT day FROM fitted GROUP BY day
+                HAVING sum(yhat) >= (SELECT count(*) FROM enrolment) * CAST(1.05 AS DOUBLE)))""",
+                                                            *_SEGMENTED))
+register("enrolment_trend_breaks", lambda s, d: enrolment.trend_breaks(_data(s, d), BOTH, False),
+         _sql("""
+SELECT l.site AS "SITE", l.strata1 AS "STRATA1", CAST(f.day AS VARCHAR) AS first_day,
+       CAST(t.day AS VARCHAR) AS last_day, l.b - l.a AS days, round(slope, 6) AS rate,
+       round(mean_y + slope * (t.x - mean_x), 6) AS reached
+FROM lines l JOIN totals f ON f.site = l.site AND f.strata1 = l.strata1 AND f.r = l.a + 1
+JOIN totals t ON t.site = l.site AND t.strata1 = l.strata1 AND t.r = l.b""", *_SEGMENTED))
+
 register("enrolment_level_grid", lambda s, d: complete_grid(
     enrolment.working_data(_data(s, d), BOTH, True), [*BOTH, "week"], ["value"]),
     _sql("""

@@ -9,14 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from armwatch.columns import col, cols, need_columns, need_member, on_columns, percent, ratio
+from armwatch.operators import trend as trends
 from armwatch.operators.prepare import period_start
 from armwatch.operators.shape import calendar, carried_forward, running_total
 from armwatch.session import settled
@@ -200,9 +198,9 @@ def model_projections(data: DataFrame, strata: Sequence[str], donor_level: bool,
                       band: float = .8, date: str = DATE, subject: str = SUBJECT) -> DataFrame:
     """Trend of the cumulative daily count per stratum over history and horizon, with bands.
 
-    ``linear`` is a regression line as SQL aggregates. ``changepoint`` lets the slope change at
-    25 evenly spaced days in the first 80 % of the history (ridge-penalised least squares on one
-    row per day). Rows end on the first day on which the strata together reach ``target``.
+    ``linear`` is a regression line as SQL aggregates. ``changepoint`` lets the line change at up
+    to 5 of 25 evenly spaced days in the first 80 % of the history, the best by least squares and
+    information criterion (``operators.trend``). Rows end on the first day on which the strata together reach ``target``.
     """
     need_member(trend, ("linear", "changepoint"), "'trend'")
     strata = list(strata)
@@ -239,34 +237,40 @@ def _linear_fit(totals: DataFrame, strata: Sequence[str], horizon_days: int,
 
 def _changepoint_fit(totals: DataFrame, strata: Sequence[str], horizon_days: int,
                      z: float) -> DataFrame:
-    changes, penalty = 25, .1
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("day")
-        days = pd.to_datetime(group["day"])
-        first, last = days.iloc[0], days.iloc[-1]
-        span = max((last - first).days, 1)
-        future = pd.date_range(last, periods=horizon_days + 1)[1:]
-        out = pd.Series(list(days) + list(future))
-        knots = np.linspace(0, .8, changes + 1)[1:]
-
-        def design(when: pd.Series) -> np.ndarray:
-            t = ((when - first).dt.days / span).to_numpy(float)
-            return np.column_stack([np.ones_like(t), t, np.maximum(t[:, None] - knots, 0)])
-
-        x, y = design(days), group["y"].to_numpy(float)
-        weight = np.diag([0.0, 0.0] + [penalty] * changes)
-        beta = np.linalg.lstsq(x.T @ x + weight, x.T @ y, rcond=None)[0]
-        sd = float(np.sqrt(np.mean((y - x @ beta) ** 2)))
-        yhat = design(out) @ beta
-        result = pd.DataFrame({"day": out.dt.date, "yhat_lower": yhat - z * sd,
-                               "yhat_upper": yhat + z * sd, "yhat": yhat})
-        for name in strata:
-            result[name] = group[name].iloc[0]
-        return result
-
-    schema = T.StructType([T.StructField("day", T.DateType()),
-                           *(T.StructField(n, T.DoubleType())
-                             for n in ("yhat_lower", "yhat_upper", "yhat")),
-                           *(totals.schema[name] for name in strata)])
-    return totals.groupBy(*cols(strata)).applyInPandas(fit, schema)
+    """The lines of the best segmentation; days ahead follow the last one. The residual spread
+    is that of all stretches together."""
+    prefix, lines = trends.changing_trend(totals, strata)
+    lines = lines.withColumn("sd", F.sqrt(col("total_sse") / F.greatest(
+        col("rows") - 2 * col("stretches"), F.lit(1))))
+    days, own = prefix.alias("days"), lines.alias("own")
+    seen = days.join(own, (F.col("days.id") == F.col("own.id")) & (F.col("days.r") > F.col("own.a"))
+                     & (F.col("days.r") <= F.col("own.b"))).select(
+        "own.*", "days.day", "days.since")
+    fitted = seen
+    if horizon_days > 0:
+        last = prefix.where("r = rows").select("id", "day", "since")
+        fitted = seen.unionByName(
+            lines.where("b = rows").join(last, "id")
+            .withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(horizon_days))))
+            .withColumns({"day": F.date_add("day", "k"), "since": col("since") + col("k")})
+            .select(*seen.columns))
+    yhat = trends.line_at(col("since"))
+    return fitted.select("day", (yhat - z * col("sd")).alias("yhat_lower"),
+                         (yhat + z * col("sd")).alias("yhat_upper"), yhat.alias("yhat"),
+                         *(F.col(f"id.`{name}`").alias(name) for name in strata))
+
+
+def trend_breaks(data: DataFrame, strata: Sequence[str], donor_level: bool, date: str = DATE,
+                 subject: str = SUBJECT) -> DataFrame:
+    """Stretches of days with one daily rate in the cumulative count of each stratum: first and
+    last day, days seen, rate, and the line's value on the last day."""
+    strata = list(strata)
+    totals = settled(_daily_totals(data, strata, donor_level, date, subject))
+    prefix, lines = trends.changing_trend(totals, strata)
+    ends = prefix.select("id", "r", "day", "since")
+    first = ends.select("id", (col("r") - 1).alias("a"), col("day").alias("first_day"))
+    last = ends.select("id", col("r").alias("b"), col("day").alias("last_day"), "since")
+    return lines.join(first, ["id", "a"]).join(last, ["id", "b"]).select(
+        *(F.col(f"id.`{name}`").alias(name) for name in strata), "first_day", "last_day",
+        col("n").alias("days"), col("slope").alias("rate"),
+        trends.line_at(col("since")).alias("reached"))
