@@ -1,7 +1,12 @@
 """Collection metrics."""
 
+from pyspark.sql import functions as F
+
 from armwatch.checks.base import over_collections, quoted, register
+from armwatch.operators import mergeable
+from armwatch.operators.prepare import period_start
 from armwatch.plans import collection
+from armwatch.session import stored
 from armwatch.sources.collections import collections
 
 _QUANTILES = {"median": .5, "quantile_025": .025, "quantile_975": .975}
@@ -128,3 +133,20 @@ register("collection_distribution", _rounded_distribution, over_collections(
     "SELECT site, variable, metric, value, NULL FROM ("
     + _metrics("chosen", ["site"], _MEASURES, True) + " UNION ALL "
     + _metrics("chosen", [], _MEASURES, False, True) + ")) GROUP BY ALL", _chosen("mitt")))
+
+
+def _sketched_quantiles(spark, sf_dir):
+    """Quantiles of two years from monthly cells, with their rank held against the rows."""
+    data = collections(spark, sf_dir).withColumn("month", period_start(F.col("col_date"), "month"))
+    measures, years = ["duration_minutes", "actual_vol"], F.col("month").between(
+        F.lit("1996-01-01").cast("date"), F.lit("1997-12-01").cast("date"))
+    cells = stored(mergeable.quantile_sketches(data, ["site", "month"], measures))
+    found = mergeable.sketched_quantiles(cells.where(years), ["site"], [.025, .5, .975])
+    return mergeable.rank_error(found, data.where(years), ["site"], measures).select(
+        "site", "variable", "prob", "n", (F.col("error") < .02).alias("near"))
+
+
+register("collection_sketched_quantiles", _sketched_quantiles, over_collections(" UNION ALL ".join(
+    f"""SELECT site, '{m}' AS variable, CAST({p} AS DOUBLE) AS prob, count({m}) AS n, TRUE AS near
+    FROM collections WHERE col_date >= DATE '1996-01-01' AND col_date < DATE '1998-01-01'
+    GROUP BY site""" for m in ("duration_minutes", "actual_vol") for p in (.025, .5, .975))))

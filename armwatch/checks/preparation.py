@@ -202,6 +202,20 @@ register("source_raw_data", lambda s, d: tables.raw_data(safety_view(collections
                           {_names(FLAGS)}, {_names(CODES)} FROM collections"""))
 
 
+def _in_range_by_month(spark, sf_dir):
+    path = _processed(spark, sf_dir, SAFETY, safety_view, "parquet", month_of="col_date")
+    table = tables.read_parquet(spark, path, SAFETY, month_of="col_date")
+    rows = filters.filter_rows(table, SAFETY, "1996-01-31", "1996-04-02")
+    return rows.groupBy("month").agg(F.count("*").alias("rows"), F.min("col_date").alias("first"),
+                                     F.max("col_date").alias("last"))
+
+
+register("source_date_range_by_month", _in_range_by_month, over_collections("""
+SELECT strftime(col_date, '%Y-%m') AS month, count(*) AS rows,
+       CAST(min(col_date) AS VARCHAR) AS first, CAST(max(col_date) AS VARCHAR) AS last
+FROM collections WHERE col_date BETWEEN DATE '1996-01-31' AND DATE '1996-04-02' GROUP BY 1"""))
+
+
 def _refreshed(spark, sf_dir):
     path = _processed(spark, sf_dir, SAFETY, safety_view, "parquet", month_of="col_date")
     old = tables.read_parquet(spark, path, SAFETY)

@@ -1,8 +1,16 @@
 """Safety reports."""
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from armwatch.checks.base import counted, over_collections, quoted, register
+from armwatch.columns import col
+from armwatch.operators import mergeable
+from armwatch.operators.prepare import period_start
 from armwatch.plans import safety
+from armwatch.session import scratch_dir, stored
 from armwatch.sources.collections import collections, safety_view
+from armwatch.streaming import partials
 
 SEVERITIES = ("all_ae", "non_hyp", "hyp", "sig_hyp", "only_1.1")
 
@@ -136,3 +144,59 @@ SELECT "group", site, sum,
               THEN round(100.0 * sum / nullif((SELECT sum(sum) FROM cells), 0), 6)
             ELSE round(pct, 6) END AS pct
 FROM stacked"""))
+
+
+# ------------------------------------------------------------------------- partial aggregates
+
+def _after_redelivery(spark, sf_dir):
+    """Three batches, the last of which delivers half of the exports again."""
+    folder = scratch_dir(spark)
+    data = _data(spark, sf_dir).select("col_id", "col_date", col("group"), *(
+        col(f) for f in SEVERITIES))
+    half = (F.crc32("col_id") % 2).cast("string")
+    schema = T.StructType([*data.schema.fields, T.StructField("delivery", T.IntegerType()),
+                           T.StructField("export", T.StringType())])
+    for delivery, export in ((1, "0"), (2, "1"), (3, "0")):
+        data.where(half == export).write.parquet(
+            f"{folder}/in/delivery={delivery}/export={export}")
+        partials.maintain(
+            spark, f"{folder}/in", schema, f"{folder}/out", f"{folder}/progress", ["group"],
+            SEVERITIES, ["col_id"], unit=F.col("export"), version=F.col("delivery"))
+    return folder + "/out"
+
+
+def _incremental_risk(spark, sf_dir):
+    target = _after_redelivery(spark, sf_dir)
+    return safety.risk_of_partials(partials.sums(spark, target, ["group"], SEVERITIES),
+                                   partials.ids(spark, target, "col_id", ["group"]))
+
+
+register("safety_incremental_risk", _incremental_risk, over_collections(_RISK, _arms(SEVERITIES)))
+
+
+def _cells(spark, sf_dir):
+    return _data(spark, sf_dir).withColumn("month", period_start(col("col_date"), "month"))
+
+
+register("safety_distinct_bitmaps", lambda s, d: mergeable.bitmap_rollup(
+    stored(mergeable.distinct_bitmaps(_cells(s, d), ["group", "site", "month"], "don_id")),
+    ["group", "site"]), over_collections("""
+SELECT CAST(2 AS BIGINT) AS level, "group", site, count(DISTINCT don_id) AS n FROM collections
+GROUP BY "group", site
+UNION ALL SELECT 1, "group", NULL, count(DISTINCT don_id) FROM collections GROUP BY "group"
+UNION ALL SELECT 0, NULL, NULL, count(DISTINCT don_id) FROM collections"""))
+
+
+def _sketched_distinct(spark, sf_dir):
+    """Estimates from monthly cells beside the exact counts; five standard errors."""
+    data = _cells(spark, sf_dir)
+    cells = stored(mergeable.distinct_sketches(data, ["site", "month"], "col_id"))
+    exact = data.groupBy("site").agg(F.count_distinct("col_id").alias("collections"))
+    error = 5 * 1.04 / 2 ** (mergeable.LG_K / 2)
+    return mergeable.sketched_counts(cells, ["site"]).join(exact, "site").select(
+        "site", "collections",
+        (F.abs(col("n") - col("collections")) <= F.lit(error) * col("collections")).alias("near"))
+
+
+register("safety_distinct_sketches", _sketched_distinct, over_collections("""
+SELECT site, count(DISTINCT col_id) AS collections, TRUE AS near FROM collections GROUP BY site"""))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from armwatch.columns import col
 from armwatch.sources.contract import CATEGORY, POPULATION, SEVERITY, Contract
+from armwatch.sources.tables import MONTH_OF
 
 ROLE_NAMES = {"POP": POPULATION, "SEV": SEVERITY}
 Day = dt.date | str | None
@@ -24,13 +25,15 @@ def date_bounds(df: DataFrame, date: str = "col_date") -> tuple[dt.date, dt.date
 def date_range(df: DataFrame, start: Day = None, end: Day = None, date: str = "col_date",
                bounds: tuple[dt.date, dt.date] | None = None, strict: bool = True) -> DataFrame:
     """Both ends inclusive. ``strict`` rejects a bound outside the table's own range; pass the
-    known ``bounds`` to spare the job that looks them up."""
+    known ``bounds`` to spare the job that looks them up. A table with folders by month of this
+    date (see ``sources.tables.read_parquet``) is read from the folders of the range only."""
     start, end = _as_date(start), _as_date(end)
     if strict and (start or end):
         low, high = bounds or date_bounds(df, date)
         if low is None or (start and start < low) or (end and end > high):
-            raise ValueError(f"'start' and/or 'end' should be within range {[str(low), str(high)]}.")
-    out = df
+            raise ValueError(f"The table has dates from {low} to {high}; choose 'start' and 'end' "
+                             "among them, or pass strict=False.")
+    out = in_months(df, start, end, date)
     if start:
         out = out.where(col(date) >= F.lit(start))
     if end:
@@ -38,6 +41,17 @@ def date_range(df: DataFrame, start: Day = None, end: Day = None, date: str = "c
     return out
 
 
+def in_months(df: DataFrame, start: dt.date | None, end: dt.date | None, date: str) -> DataFrame:
+    """Add the months that a range of dates implies, where the table has folders by them."""
+    marked = [f.name for f in df.schema.fields if f.metadata.get(MONTH_OF) == date]
+    for name in marked:
+        if start:
+            df = df.where(col(name) >= F.lit(f"{start:%Y-%m}"))
+        if end:
+            df = df.where(col(name) <= F.lit(f"{end:%Y-%m}"))
+    return df
+
+
 def level_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``(variable, level)`` of the distinct values, as a distributed table."""
     long = df.select(*(col(name).cast("string").alias(name) for name in names)).unpivot(
@@ -62,7 +76,8 @@ def predicate(query: Mapping[str, str], contract: Contract,
         else:
             wrong[key] = value
     if wrong:
-        raise ValueError(f"The following pairs do not exist: {wrong}.")
+        raise ValueError(f"Can't select by {wrong}: use a category with one of its levels, or POP "
+                         "or SEV with a flag.")
     return condition
 
 
@@ -82,7 +97,7 @@ def filter_rows(df: DataFrame, contract: Contract, start: Day = None, end: Day =
                         for k, v in asked.items())).first()
         unknown = {k: v for k, v in asked.items() if not seen[k]}
         if unknown:
-            raise ValueError(f"The table has no such levels: {unknown}.")
+            raise ValueError(f"No row has {unknown}; see level_table for the levels.")
     return out.where(condition)
 
 

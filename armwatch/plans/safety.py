@@ -12,6 +12,7 @@ from armwatch.columns import col, cols, flag, need_columns, need_member, percent
 from armwatch.functions.intervals import (
     DIFF_METHODS, method_rows, rate_diff_ci_summary, with_rate_ci)
 from armwatch.operators.filters import Day, date_range
+from armwatch.operators.mergeable import bitmap_counts
 from armwatch.operators.prepare import period_start
 from armwatch.operators.shape import (
     BLANK, GRAND_TOTAL, SUBTOTAL, complete_grid, long_metrics, share_within, with_subtotals)
@@ -66,7 +67,19 @@ def _severities(data: DataFrame, contract: Contract) -> list[str]:
 def summary_risk(data: DataFrame, contract: Contract = SAFETY) -> DataFrame:
     """Count and percent (of distinct collections) of each severity group by arm and in total."""
     names = _severities(data, contract)
-    table = _flag_counts(data, names)
+    return _risk_rows(_flag_counts(data, names), names)
+
+
+def risk_of_partials(sums: DataFrame, ids: DataFrame, contract: Contract = SAFETY) -> DataFrame:
+    """``summary_risk`` from partial aggregates by arm: sums of the flags, and bitmaps of the
+    collections (see ``streaming.partials``). The rows themselves are not read."""
+    names = _severities(sums, contract)
+    per_arm = (sums.groupBy(col("group")).agg(*(F.sum(col(name)).alias(name) for name in names))
+               .join(bitmap_counts(ids, ["group"], "col_id"), "group"))
+    return _risk_rows(with_subtotals(per_arm, ["group"], [*names, "col_id"]), names)
+
+
+def _risk_rows(table: DataFrame, names: Sequence[str]) -> DataFrame:
     return long_metrics(table, ["group"], {
         key: value for name in names for key, value in (
             ((name, "sum"), col(name)),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armwatch.columns import col, cols
 from armwatch.sources.contract import ID, VOLUME, Contract
 
-
+#: The folder column of a table written by month, and the metadata that names its date column.
+MONTH, MONTH_OF = "month", "month_of"
 #: Each file's header is held against the schema, and malformed values fail instead of
 #: turning into nulls.
 STRICT_CSV = {"header": True, "enforceSchema": False, "mode": "FAILFAST"}
@@ -45,21 +46,40 @@ def null_tokens(df: DataFrame, contract: Contract) -> DataFrame:
                            for var, token in tokens.items()})
 
 
-def read_parquet(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
-    """Parquet scan of the declared columns; header checked."""
+def month_name(date: Column) -> Column:
+    """The folder name of a date's month."""
+    return F.date_format(date, "yyyy-MM")
+
+
+def read_parquet(spark: SparkSession, path: str, contract: Contract,
+                 month_of: str | None = None) -> DataFrame:
+    """Parquet scan of the declared columns; header checked.
+
+    ``month_of`` is the date column by which ``save_rows`` made the folders. The folder column is
+    then kept, marked with that name, and ``filters.date_range`` on the date reads the folders of
+    the range only.
+    """
     table = spark.read.parquet(path)
     contract.check(table.columns)
-    return table.select(*cols(contract.selected(table.columns)))
+    wanted = cols(contract.selected(table.columns))
+    if month_of is not None:
+        if MONTH not in table.columns:
+            raise KeyError(f"The table at {path} has no folders by month; write it with "
+                           f"month_of={month_of!r} or read it without.")
+        wanted.append(col(MONTH).cast("string").alias(MONTH, metadata={MONTH_OF: month_of}))
+    return table.select(*wanted)
 
 
 def refresh(spark: SparkSession, path: str, contract: Contract,
-            old: DataFrame | None = None, file_format: str = "parquet") -> DataFrame:
+            old: DataFrame | None = None, file_format: str = "parquet",
+            month_of: str | None = None) -> DataFrame:
     """Reload after the files changed: drop the old cache and file listing, then read again."""
     if old is not None:
         old.unpersist()
     spark.catalog.refreshByPath(path)
-    reader = read_parquet if file_format == "parquet" else read_csv
-    return reader(spark, path, contract)
+    if file_format == "parquet":
+        return read_parquet(spark, path, contract, month_of)
+    return read_csv(spark, path, contract)
 
 
 def raw_data(df: DataFrame, contract: Contract, date: str = "col_date") -> DataFrame:
@@ -71,16 +91,17 @@ def raw_data(df: DataFrame, contract: Contract, date: str = "col_date") -> DataF
 def save_rows(df: DataFrame, path: str, file_format: str = "parquet", mode: str = "error",
               month_of: str | None = None) -> None:
     """Write rows. ``month_of`` names a date column: one folder per month, so that date
-    filters prune whole folders. Rows are spread by ranges of (month, hash of the row), so a
+    filters prune whole folders (``read_parquet`` with the same ``month_of``). Rows are spread by ranges of (month, hash of the row), so a
     folder gets few files and a busy month still has several writers."""
     writer = df
     if month_of is not None:
-        writer = df.withColumn("month", F.date_format(F.date_trunc("month", col(month_of)),
-                                                      "yyyy-MM"))
-        writer = writer.repartitionByRange("month", F.xxhash64(*cols(df.columns)))
+        if MONTH in df.columns:
+            raise KeyError(f"A table written by month can't have a column {MONTH} of its own.")
+        writer = df.withColumn(MONTH, month_name(col(month_of)))
+        writer = writer.repartitionByRange(MONTH, F.xxhash64(*cols(df.columns)))
     out = writer.write.mode(mode)
     if month_of is not None:
-        out = out.partitionBy("month")
+        out = out.partitionBy(MONTH)
     if file_format == "csv":
         out = out.option("header", True)
     out.format(file_format).save(path)
