@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from armwatch.checks.base import counted, over_collections, quoted, register
 from armwatch.columns import col
-from armwatch.operators import filters, prepare, quantiles, shape
+from armwatch.operators import filters, ledger, prepare, quantiles, shape
 from armwatch.session import scratch_dir
 from armwatch.sources import tables
 from armwatch.sources.collections import (
     collections, dashboard_view, enrolment_view, profile_view, raw_view, safety_view, volume_view)
 from armwatch.sources.contract import (
     AGE_BINS, AGE_LABELS, DASHBOARD, ENROLMENT, PLASMA, POWER, PROFILE, QUARTILES,
-    RAW_SAFETY, SAFETY, VOLUMES)
+    RAW_PROFILE, RAW_SAFETY, SAFETY, VOLUMES)
 
 FLAGS = ("itt", "mitt", "pp", "all_ae", "non_hyp", "hyp", "sig_hyp", "only_1.1")
 CODES = ("1.1", "1.2", "2.1", "3.1")
@@ -222,6 +222,45 @@ def _refreshed(spark, sf_dir):
     return tables.refresh(spark, path, SAFETY, old)
 
 
+def _with_faults(spark, sf_dir):
+    """The export with procedures that end as they start, and donors without a gender."""
+    raw = _raw(spark, sf_dir)
+    number = col("COLLECTION_NUMBER").cast("bigint")
+    return raw.withColumns({
+        "PROCEDURE_END": F.when(number % 89 == 0, col("PROCEDURE_START"))
+        .otherwise(col("PROCEDURE_END")),
+        "GENDER": F.when(number % 83 != 0, col("GENDER"))})
+
+
+def _ledger(spark, sf_dir):
+    saved = ledger.save_with_ledger(_with_faults(spark, sf_dir), RAW_PROFILE, _scratch(spark))
+    return ledger.as_table(spark, saved)
+
+
+def _reasons(spark, sf_dir):
+    path = _scratch(spark)
+    ledger.save_with_ledger(_with_faults(spark, sf_dir), RAW_PROFILE, path)
+    return ledger.reasons_by(ledger.rejected_rows(spark, path), ["site"])
+
+
+_FAULTS = """
+faults AS (SELECT *, volume_lost AS a, CAST(col_id AS BIGINT) % 89 = 0 AS b,
+                  CAST(col_id AS BIGINT) % 83 = 0 AS c FROM collections)"""
+register("sink_quality_ledger", _ledger, over_collections("""
+SELECT entry, rows FROM (
+  SELECT 'read' AS entry, count(*) AS rows FROM faults
+  UNION ALL SELECT 'kept', count(*) FROM faults WHERE NOT (a OR b OR c)
+  UNION ALL SELECT 'rejected', count(*) FROM faults WHERE a OR b OR c
+  UNION ALL SELECT 'no actual_vol', count(*) FROM faults WHERE a
+  UNION ALL SELECT 'proc_end not after proc_start', count(*) FROM faults WHERE b
+  UNION ALL SELECT 'no gender', count(*) FROM faults WHERE c) WHERE rows > 0""", _FAULTS))
+register("sink_rejection_reasons", _reasons, over_collections("""
+SELECT site, reason, count(*) AS rows FROM (
+  SELECT site, 'no actual_vol' AS reason FROM faults WHERE a
+  UNION ALL SELECT site, 'proc_end not after proc_start' FROM faults WHERE b
+  UNION ALL SELECT site, 'no gender' FROM faults WHERE c) GROUP BY ALL""", _FAULTS))
+
+
 def _rejected(spark, sf_dir):
     path = _scratch(spark)
     tables.save_missing(prepare.prepare_profile(_raw(spark, sf_dir)).missing, path)

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from armwatch.operators import prepare
+from armwatch.operators import ledger, prepare
 from armwatch.sources import tables
 from armwatch.sources.collections import collections, raw_view, safety_view
 from armwatch.sources.contract import (
@@ -197,3 +197,24 @@ def test_unknown_level_is_an_error(spark, sf_dir):
     with pytest.raises(ValueError, match="nowhere"):
         filter_rows(data, SAFETY, query={"site": "nowhere", "POP": "pp"})
     assert filter_rows(data, SAFETY, query={"gender": "male"}).count() > 0
+
+
+def test_ledger_of_one_writing_job(spark, raw, tmp_path):
+    path = str(tmp_path / "t")
+    number = F.col("COLLECTION_NUMBER").cast("bigint")
+    faulty = raw.withColumns({
+        "PROCEDURE_END": F.when(number % 89 == 0, F.col("PROCEDURE_START"))
+        .when(number % 97 == 0, None).otherwise(F.col("PROCEDURE_END")),
+        "GENDER": F.when(number % 83 != 0, F.col("GENDER"))})
+    found = ledger.save_with_ledger(faulty, RAW_PROFILE, path)
+    kept, rejected = ledger.kept_rows(spark, path), ledger.rejected_rows(spark, path)
+    assert (found["read"], found["kept"], found["rejected"]) == (
+        raw.count(), kept.count(), rejected.count())
+    by_reason = {r.reason: r.rows for r in ledger.reasons_by(rejected, []).collect()}
+    assert by_reason == {k: n for k, n in found.items() if k not in ("read", "kept", "rejected")}
+    assert set(by_reason) == {"no actual_vol", "no gender", "no proc_end", ledger.OUT_OF_ORDER}
+    assert by_reason["no gender"] == faulty.where(number % 83 == 0).count()
+    late = faulty.where((number % 89 != 0) & F.col("GENDER").isNotNull())
+    assert kept.count() == prepare.prepare_profile(late, edges={"weight": [1.0, 2.0, 3.0]}).data.count()
+    assert ledger.save_with_ledger(faulty.where("false"), RAW_PROFILE, path + "2") == {
+        "read": 0, "kept": 0, "rejected": 0}
