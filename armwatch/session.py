@@ -12,7 +12,11 @@ FOLDER = "spark.checkpoint.dir"
 
 def local_session(name: str = "armwatch", cpus: int | str = "*", memory: str = "8g",
                   partitions: int = 8) -> SparkSession:
-    """A session of one machine, with a folder of its own where none is named."""
+    """A session of one machine, with a folder of its own where none is named.
+
+    Sides of a join over 1 MB are shuffled, not broadcast: a small file is one row group, which
+    one task reads, and after a broadcast join the same task would do all that follows.
+    """
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName(name)
                .config("spark.ui.enabled", "false")
                .config("spark.driver.memory", memory)
@@ -20,6 +24,7 @@ def local_session(name: str = "armwatch", cpus: int | str = "*", memory: str = "
                .config("spark.sql.shuffle.partitions", str(partitions))
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
+               .config("spark.sql.autoBroadcastJoinThreshold", "1m")
                .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
