@@ -6,8 +6,9 @@ rows (``SAMPLE`` of each class, the first by a digest of doc_id). Each voter fir
 a document. The label model holds, for a hidden label, how often each voter fires under either
 value of it, estimated by expectation-maximisation over the sample's votes, and the correlations
 of voters given the hidden label, by which voters that repeat each other share their weight. A
-logistic regression on the counted rates learns the model's posterior labels and scores every
-text, whole. Labels of rows whose crc32(doc_id as text) mod 3 is 1 are never read.
+logistic regression on the counted rates learns the model's posterior labels; a second one, of its
+sum alone, takes back what its penalty shrank. It scores every text, whole and of any length.
+Labels of rows whose crc32(doc_id as text) mod 3 is 1 are never read.
 
 Null and empty texts get the score of a text without any voter. Rows that repeat score alike.
 Without labels of both classes there are no voters, and every score is the prior 0.5.
@@ -217,7 +218,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         count, "toxic int, counts array<double>").orderBy("toxic", "counts").collect()
     counts, toxic = np.array([r.counts for r in rows]), np.array([r.toxic for r in rows])
     posterior = label_model(votes_of(counts, rates), toxic)
-    weights = logistic(features_of(counts, rates), posterior)
+    x = features_of(counts, rates)
+    weights = logistic(x, posterior)
+    slope, constant = logistic(np.column_stack([x @ weights, np.ones(len(x))]), posterior, .1)
+    weights *= max(slope, 1.0)
+    weights[-1] += constant
     return {"items": list(items), "rates": rates.tolist(), "weights": weights.tolist()}
 
 
