@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,11 +188,104 @@ def _by_anchor(found: Callable):
     return run
 
 
+class _Bucket:
+    """Stretches of one anchor, in order of (data, doc): distinct data, and per row its doc, its
+    start and which data it is."""
+
+    def __init__(self) -> None:
+        self.data: list[bytes] = []
+        self.rows: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, data: list[bytes], which: np.ndarray, doc: np.ndarray,
+            start: np.ndarray) -> None:
+        """``which`` counts ``data`` from 0; the first may be the last one of the rows before."""
+        base = len(self.data)
+        if base and data[0] == self.data[-1]:
+            data, base = data[1:], base - 1
+        self.data += data
+        self.rows.append((which + base, doc, start))
+
+    def spans(self, found: Callable) -> tuple[np.ndarray, ...]:
+        """(doc, a, b) of the removed parts of the rows."""
+        which, doc, start = (self.rows[0] if len(self.rows) == 1 else
+                             tuple(np.concatenate(r) for r in zip(*self.rows)))
+        first = np.searchsorted(which, np.arange(len(self.data)))
+        least = doc[first]
+        size = np.array([len(d) for d in self.data], np.int64)
+        whole = doc > least[which]
+        out = [(doc[whole], start[whole], start[whole] + size[which[whole]])]
+        if len(self.data) > 1:
+            some = []
+            last = [*first[1:].tolist(), len(which)]
+            for i, parts in found(self.data, least.tolist()).items():
+                # the rows of one data are in order of their documents: the smallest ones first
+                for own in range(first[i], last[i]):
+                    if whole[own]:
+                        break
+                    d, at = int(doc[own]), int(start[own])
+                    some += [(d, at + a, at + b) for a, b in parts]
+            if some:
+                out.append(tuple(np.array(some, np.int64).T))
+        return tuple(np.concatenate(r) for r in zip(*out))
+
+
+def _by_distinct(found: Callable):
+    """Rows sorted by (anchor, data, doc), to spans. Anchors that have one data throughout, the
+    inside of an exact repeat, are settled for a whole batch at once; only the others become
+    Python objects, their equal data once. The last anchor of a batch waits for the next one."""
+    def batch_of(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        none = (np.zeros(0, np.int64),) * 3
+        return pa.record_batch([pa.array(np.concatenate(r)) for r in zip(none, *parts)],
+                               names=["doc", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, waiting = None, _Bucket()
+        for batch in batches:
+            n, out = batch.num_rows, []
+            if not n:
+                continue
+            anchor, doc, start = (batch.column(c).to_numpy() for c in ("anchor", "doc", "start"))
+            data = batch.column("data")
+            new_anchor = np.r_[True, anchor[1:] != anchor[:-1]]
+            new_data = new_anchor.copy()
+            if n > 1:
+                new_data[1:] |= ~pc.equal(data[1:], data[:-1]).to_numpy(zero_copy_only=False)
+            edges = np.r_[np.flatnonzero(new_anchor), n]
+            kinds = np.add.reduceat(new_data, edges[:-1])
+            sizes = pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64)
+            # anchors inside the batch with one data: every row of a later document goes
+            inner = np.ones(len(kinds), bool)
+            inner[-1] = False
+            if key is not None and anchor[0] == key:
+                inner[0] = False
+            plain = np.repeat(inner & (kinds == 1), np.diff(edges))
+            least = np.repeat(doc[edges[:-1]], np.diff(edges))
+            gone = plain & (doc > least)
+            out.append((doc[gone], start[gone], start[gone] + sizes[gone]))
+            shown = data.filter(pa.array(new_data & ~plain)).to_pylist()
+            at = np.cumsum(new_data & ~plain)
+            for g in np.flatnonzero(~(inner & (kinds == 1))).tolist():
+                a, b = int(edges[g]), int(edges[g + 1])
+                if key is not None and anchor[a] != key and waiting.rows:
+                    out.append(waiting.spans(found))
+                    waiting = _Bucket()
+                key = anchor[a]
+                waiting.add(shown[at[a] - 1:at[b - 1]], at[a:b] - at[a], doc[a:b], start[a:b])
+            yield batch_of(out)
+        if waiting.rows:
+            yield batch_of([waiting.spans(found)])
+
+    return run
+
+
 def repeated_spans(docs: DataFrame, elements: Elements, window: int, gram: int, packed: Callable,
-                   found: Callable, text: str = "text") -> DataFrame:
+                   found: Callable, text: str = "text", distinct: bool = False) -> DataFrame:
     """Every row of (doc_id, text) with ``first`` (the smallest doc_id of equal texts), ``n``
     (rows of that text), ``own`` (whether the row is that document) and ``spans``, the removed
-    stretches [a, b) of elements of the first document of a text."""
+    stretches [a, b) of elements of the first document of a text.
+
+    ``found`` gets the rows of a bucket; with ``distinct`` it gets the distinct data, each with
+    the smallest document that has it, and gives the removed parts [(a, b)] by place among them."""
     rows = docs.select("doc_id", text_of(text).alias("text")).withColumns({
         "content": F.xxhash64("text"), "id": F.coalesce("doc_id", F.lit(LAST))})
     firsts = stored(rows.groupBy("content").agg(F.min("id").alias("first"),
@@ -206,8 +300,10 @@ def repeated_spans(docs: DataFrame, elements: Elements, window: int, gram: int,
     pieces = (rows.join(wanted, ["content", "id"]).select("text", "first", "anchors")
               .mapInArrow(_stretch_rows(elements, window, gram, packed),
                           "anchor long, doc long, start long, data binary"))
-    spans = settled(pieces.repartition("anchor").sortWithinPartitions("anchor")
-                    .mapInArrow(_by_anchor(found), "doc long, a long, b long")
+    order = ["anchor", "data", "doc"] if distinct else ["anchor"]
+    by_anchor = _by_distinct(found) if distinct else _by_anchor(found)
+    spans = settled(pieces.repartition("anchor").sortWithinPartitions(*order)
+                    .mapInArrow(by_anchor, "doc long, a long, b long")
                     .groupBy(F.col("doc").alias("id"))
                     .agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     known = wanted.select("content", "id", "n", F.lit(True).alias("own"))

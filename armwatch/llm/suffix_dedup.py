@@ -36,11 +36,14 @@ def packed(x: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[bytes]:
     return [data[a:a + n + LEAST - 1] for a, n in zip(start.tolist(), length.tolist())]
 
 
-def common_prefix(a: bytes, b: bytes) -> int:
+def common_prefix(a: bytes, b: bytes, least: int) -> int:
+    """The bytes that two suffixes share at their front, 0 where they are fewer than ``least``."""
+    if a[:least] != b[:least]:
+        return 0
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
         return n
-    low, high = 0, n
+    low, high = least, n
     while high - low > 1:
         middle = (low + high) // 2
         if a[:middle] == b[:middle]:
@@ -57,7 +60,8 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tupl
     out: list[tuple[int, list[tuple[int, int]]]] = []
     stack: list[tuple[int, int]] = []  # common-prefix length, first suffix of the interval
     for k in range(1, len(suffixes) + 1):
-        same = common_prefix(suffixes[k - 1][0], suffixes[k][0]) if k < len(suffixes) else 0
+        same = (common_prefix(suffixes[k - 1][0], suffixes[k][0], least)
+                if k < len(suffixes) else 0)
         begin = k - 1
         while stack and stack[-1][0] > same:
             length, begin = stack.pop()
@@ -70,30 +74,21 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tupl
     return out
 
 
-def removed(docs: list[int], starts: list[int], data: list[bytes]) -> list[tuple[int, int, int]]:
-    """(doc, a, b) of the bytes of a bucket's stretches that go."""
-    least: dict[bytes, int] = {}
-    for doc, text in zip(docs, data):
-        least[text] = min(doc, least.get(text, doc))
-    texts, spans = list(least), {}
-    if len(texts) > 1:
-        for length, places in maximal_repeats(texts, LEAST):
-            smallest = min(least[texts[t]] for t, _ in places)
-            for t, i in places:
-                if least[texts[t]] > smallest:
-                    spans.setdefault(texts[t], []).append((i, i + length))
-    out = []
-    for doc, start, text in zip(docs, starts, data):
-        if doc > least[text]:
-            out.append((doc, start, start + len(text)))
-        else:
-            out += [(doc, start + a, start + b) for a, b in spans.get(text, ())]
-    return out
+def removed(texts: list[bytes], least: list[int]) -> dict[int, list[tuple[int, int]]]:
+    """Of a bucket's distinct stretches, each with the smallest document that has it, the parts
+    that go, by the stretch's number."""
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for length, places in maximal_repeats(texts, LEAST):
+        smallest = min(least[t] for t, _ in places)
+        for t, i in places:
+            if least[t] > smallest:
+                spans.setdefault(t, []).append((i, i + length))
+    return spans
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Per document the bytes, the removed ones and their runs, and a digest of what is left."""
-    rows = repeated_spans(docs, elements, LEAST, GRAM, packed, removed)
+    rows = repeated_spans(docs, elements, LEAST, GRAM, packed, removed, distinct=True)
 
     @F.arrow_udf("struct<n_bytes: long, n_removed: long, n_spans: long, kept_sha256: string>")
     def digest(text: pa.Array, own: pa.Array, spans: pa.Array) -> pa.Array:
