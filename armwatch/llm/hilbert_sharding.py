@@ -77,11 +77,12 @@ def sums_before(df: DataFrame, keys: list[str], order: str, value: str, out: str
     return df.withColumn(out, F.coalesce(F.sum(value).over(window), F.lit(0)))
 
 
-def assigned(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot, curve) of every row."""
-    text = text_of()
+def assigned(docs: DataFrame, shards: int = 8, row: str | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot, curve) of every row; ``row`` names a column that
+    tells the rows apart and goes along."""
+    text, along_too = text_of(), [] if row is None else [row]
     rows = settled(docs.select(
-        "doc_id", F.col("source").cast("string").alias("source"),
+        "doc_id", *along_too, F.col("source").cast("string").alias("source"),
         F.col("lang").cast("string").alias("lang"),
         (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.xxhash64(text, F.lit("group")).alias("text_hash"))
@@ -122,7 +123,7 @@ def assigned(docs: DataFrame, shards: int = 8) -> DataFrame:
     along = F.when(F.col("whole"), F.lit(.5)).otherwise(
         F.pmod("own", F.lit(1 << 30)) / float(1 << 30))
     joined = rows.join(begun, named).select(
-        "doc_id", "size", "text_crc32", "text_hash", "own", "curve",
+        "doc_id", *along_too, "size", "text_crc32", "text_hash", "own", "curve",
         F.least(F.lit(shards - 1), F.floor(
             (F.col("begin") + along * F.col("bytes")) / F.col("part"))).cast("int").alias("shard"),
         (F.col("block") * F.lit(BLOCKS) + F.when(
@@ -138,7 +139,7 @@ def assigned(docs: DataFrame, shards: int = 8) -> DataFrame:
     order = Window.partitionBy("shard", "curve", "block").orderBy("text_hash", "doc_id", "size")
     return (joined.withColumn("at", F.row_number().over(order) - 1)
             .join(slots, ["shard", "curve", "block"])
-            .select("doc_id", "size", "text_crc32", "shard",
+            .select("doc_id", *along_too, "size", "text_crc32", "shard",
                     (F.col("base") + F.col("at")).cast("long").alias("slot"), "curve"))
 
 
@@ -151,8 +152,15 @@ def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 def write(docs: DataFrame, path: str, shards: int = 8) -> None:
     """Write the documents by shard, each file a stretch of the curve: rows are dealt by ranges
-    of (shard, slot), so a large shard has several files and every file few metadata values."""
-    own = assigned(docs, shards).select("doc_id", "shard", "slot")
-    (docs.join(own, "doc_id").repartitionByRange("shard", "slot")
-     .sortWithinPartitions("shard", "slot").drop("slot")
-     .write.partitionBy("shard").parquet(path))
+    of (shard, slot), so a large shard has several files and every file few metadata values.
+
+    Every row is written once, null and repeated doc_ids included: the rows are numbered in a
+    written copy first. The folder column is ``shard``, with underscores in front where the table
+    has such a column."""
+    row, shard, slot = fresh(docs, "row", "shard", "slot")
+    held = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    own = assigned(held, shards, row).select(row, F.col("shard").alias(shard),
+                                             F.col("slot").alias(slot))
+    (held.join(own, row).drop(row).repartitionByRange(shard, slot)
+     .sortWithinPartitions(shard, slot).drop(slot)
+     .write.partitionBy(shard).parquet(path))

@@ -41,11 +41,12 @@ def quality(text: Column) -> Column:
 
 
 def place(doc_id: Column, text: Column) -> Column:
-    """(key, doc_id): the order in which documents of a source are taken."""
+    """(key, doc_id, digest of the text): the order in which documents of a source are taken."""
     digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
     uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + .5) / 2.0**52
     return F.struct((-F.log(uniform) / quality(text)).alias("key"),
-                    F.coalesce(doc_id, F.lit(LAST)).alias("id"))
+                    F.coalesce(doc_id, F.lit(LAST)).alias("id"),
+                    F.xxhash64(text).alias("digest"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -69,12 +70,14 @@ def targets(sizes: DataFrame) -> DataFrame:
         MOST * F.col("source_size"), F.col("open") * F.col("weight")).alias("target"))
 
 
-_BEFORE = "source string, key double, id long, size long, pid int, before long"
+_BEFORE = ("source string, key double, id long, digest long, size long, pid int, before long, "
+           "nth long")
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add the words before a row, of its source and within its partition; rows are in order."""
-    source, total = (), 0
+    """Add the words before a row, of its source and within its partition, and the how manieth of
+    equal rows it is, from 1; rows are in order and equal rows in one partition."""
+    source, total, row, times = (), 0, None, 0
     for batch in batches:
         names = batch.column("source").to_pylist()
         sizes = batch.column("size").to_numpy()
@@ -86,20 +89,30 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run = np.cumsum(new) - 1
             base = np.where(run >= 0, (ends - sizes)[starts][run], -total)
         before = ends - sizes - base
+        places = [batch.column(c).to_numpy() for c in ("key", "id", "digest")]
+        other = new.copy()
+        for p in places:
+            other[1:] |= p[1:] != p[:-1]
+        if names:
+            other[0] = other[0] or row != tuple(p[0] for p in places)
+        run = np.maximum.accumulate(np.where(other, np.arange(len(sizes)), -1))
+        nth = np.arange(len(sizes)) - np.maximum(run, 0) + np.where(run < 0, times + 1, 1)
         if names:
             source, total = names[-1], int(before[-1] + sizes[-1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)],
-                                         names=[*batch.schema.names, "before"])
+            row, times = tuple(p[-1] for p in places), int(nth[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before), pa.array(nth)],
+                                         names=[*batch.schema.names, "before", "nth"])
 
 
 def shares(docs: DataFrame) -> DataFrame:
     """One row per source: source_size, target, epochs, and the last place that the rest takes
-    (null where it takes none)."""
+    (null where it takes none) with how many of the rows of that place it takes and has."""
     text = text_of()
     slim = docs.select("source", count_words(text).alias("size"),
                        place(F.col("doc_id"), text).alias("p")).select("source", "p.*", "size")
-    order = [F.col("source").asc_nulls_last(), "key", "id", "size"]
-    ordered = settled(slim.select("source", "key", "id", "size").repartitionByRange(*order)
+    order = [F.col("source").asc_nulls_last(), "key", "id", "digest"]
+    ordered = settled(slim.select("source", "key", "id", "digest", "size")
+                      .repartitionByRange(*order)
                       .sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()))
     parts = ordered.groupBy("source", "pid").agg(F.sum("size").alias("words"))
     wanted = stored(targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")))
@@ -117,20 +130,41 @@ def shares(docs: DataFrame) -> DataFrame:
              .join(offsets, F.col("source").eqNullSafe(F.col("name"))
                    & (F.col("pid") == F.col("part")))
              .where(F.col("offset") + F.col("before") + F.col("size") / 2 < F.col("rest")))
-    last = taken.groupBy("name").agg(F.max(F.struct("key", "id")).alias("last"))
+    last = stored(taken.groupBy("name").agg(
+        F.max(F.struct("key", "id", "digest", "nth")).alias("p")).select("name", "p.*"))
+    tied = (ordered.drop("size").join(last, F.col("source").eqNullSafe(F.col("name")) & (
+        F.struct(ordered["key"], ordered["id"], ordered["digest"])
+        == F.struct(last["key"], last["id"], last["digest"])))
+        .groupBy("name").agg(F.count("*").alias("tied"))
+        .withColumnRenamed("name", "of"))
+    last = last.join(tied, F.col("name").eqNullSafe(F.col("of"))).select(
+        "name", F.struct("key", "id", "digest").alias("last"), "nth", "tied")
     return stored(wanted.join(last, wanted["source"].eqNullSafe(last["name"]), "left")
-                  .select("source", "source_size", "target", "epochs", "last"))
+                  .select("source", "source_size", "target", "epochs", "last", "nth", "tied"))
 
 
 def mix(docs: DataFrame, times: str = "times") -> DataFrame:
     """Add source_size, target and how many times the mix takes each document. The written table
-    of sources is joined; Spark broadcasts it if its files are small."""
-    own = shares(docs).withColumnRenamed("source", "_source")
+    of sources is joined; Spark broadcasts it if its files are small.
+
+    Rows equal in doc_id and text are told apart by number where the rest takes some of them
+    only: those rows alone are counted off, in one task per source."""
+    sources = shares(docs)
+    kept = ["source_size", "target"]
+    inner = [c for c in sources.columns if c not in kept]
+    names = dict(zip(inner, fresh(docs, *(f"_{c}" for c in inner))))
+    own = sources.withColumnsRenamed(names)
+    epochs, last, nth, tied = (F.col(names[c]) for c in ("epochs", "last", "nth", "tied"))
     here = place(F.col("doc_id"), text_of())
-    return (docs.join(own, docs["source"].eqNullSafe(own["_source"]), "left")
-            .withColumn(times, F.col("epochs")
-                        + F.coalesce((here <= F.col("last")).cast("int"), F.lit(0)))
-            .drop("_source", "epochs", "last"))
+    joined = docs.join(own, docs["source"].eqNullSafe(own[names["source"]]), "left")
+    below = F.coalesce((here <= last).cast("int"), F.lit(0))
+    if sources.where("nth < tied").isEmpty():
+        return joined.withColumn(times, epochs + below).drop(*names.values())
+    split = F.coalesce((here == last) & (nth < tied), F.lit(False))
+    number = F.row_number().over(Window.partitionBy(names["source"]).orderBy("doc_id"))
+    some = joined.where(split).withColumn(times, epochs + (number <= nth).cast("int"))
+    others = joined.where(~split).withColumn(times, epochs + below)
+    return others.unionByName(some).drop(*names.values())
 
 
 def repeated(docs: DataFrame) -> DataFrame:

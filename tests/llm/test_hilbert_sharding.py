@@ -59,3 +59,17 @@ def test_whole_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet")
             .select("doc_id", "text").collect()]
     check(rows, QUERIES["op10_hilbert_sharding"](spark, sf_dir).collect(), near=.5)
+
+
+def test_every_row_is_written_once(spark, tmp_path):
+    rows = [(1, "a", "s", "en", 5)] * 3 + [(None, "b", None, None, 6), (None, None, "s", "en", 7),
+                                           (2, "", "t", "de", 8), (3, "long " * 100_000, "s", "en", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, "
+                                     "shard int")
+    op.write(df, f"{tmp_path}/out")
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert set(found.columns) == {*df.columns, "_shard"}
+    key = lambda r: tuple((v is not None, v) for v in r)
+    assert sorted(map(tuple, found.select(df.columns).collect()), key=key) == sorted(rows, key=key)
+    own = {(r.doc_id, r.size): r.shard for r in op.sharded(df).collect()}
+    assert len(own) == 5 and set(own.values()) <= set(range(8))

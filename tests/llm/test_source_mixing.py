@@ -68,3 +68,22 @@ def test_better_documents_come_first(spark):
     for r in op.mix(small).collect():
         by[r.doc_id % 2] += r.times == 2
     assert by[0] > 1.2 * by[1]
+
+
+def test_rows_that_repeat_are_told_apart(spark):
+    rows = [(i, f"w{i} " * 5, "a") for i in range(200)]
+    rows += [(None, "same same same", "b")] * 1000 + [(7, "one two three", "c")] * 1000
+    rows += [(8, f"other text {i}", "d") for i in range(700)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)],
+                               "doc_id long, text string, source string, epochs int")
+    found = op.mix(df)
+    assert found.columns == [*df.columns, "source_size", "target", "times"]
+    by_source = defaultdict(list)
+    for r in found.collect():
+        by_source[r.source].append(r)
+    assert sorted(r.epochs for rs in by_source.values() for r in rs) == list(range(len(rows)))
+    for own in by_source.values():
+        size = len(own[0].text.split())
+        assert abs(sum(r.times * size for r in own) - own[0].target) <= size
+    assert sum(r.taken for r in op.taken(df).collect()) == sum(
+        r.times * len(r.text.split()) for own in by_source.values() for r in own)
