@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armwatch.llm.common import LAST, text_of
+from armwatch.llm.common import LAST, released, text_of
 from armwatch.session import settled, stored
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -278,16 +278,10 @@ def _by_distinct(found: Callable):
     return run
 
 
-def repeated_spans(docs: DataFrame, elements: Elements, window: int, gram: int, packed: Callable,
-                   found: Callable, text: str = "text", distinct: bool = False) -> DataFrame:
-    """Every row of (doc_id, text) with ``first`` (the smallest doc_id of equal texts), ``n``
-    (rows of that text), ``own`` (whether the row is that document) and ``spans``, the removed
-    stretches [a, b) of elements of the first document of a text.
-
-    ``found`` gets the rows of a bucket; with ``distinct`` it gets the distinct data, each with
-    the smallest document that has it, and gives the removed parts [(a, b)] by place among them."""
-    rows = docs.select("doc_id", text_of(text).alias("text")).withColumns({
-        "content": F.xxhash64("text"), "id": F.coalesce("doc_id", F.lit(LAST))})
+def _wanted_and_spans(rows: DataFrame, elements: Elements, window: int, gram: int,
+                      packed: Callable, by_anchor: Callable, order: list[str],
+                      kept: Callable = settled) -> tuple[DataFrame, DataFrame]:
+    """The first document of each text with its shared anchors, and the removed parts by it."""
     firsts = stored(rows.groupBy("content").agg(F.min("id").alias("first"),
                                                 F.count("*").alias("n")))
     anchors = rows.select("text", "content").mapInArrow(
@@ -300,12 +294,31 @@ def repeated_spans(docs: DataFrame, elements: Elements, window: int, gram: int,
     pieces = (rows.join(wanted, ["content", "id"]).select("text", "first", "anchors")
               .mapInArrow(_stretch_rows(elements, window, gram, packed),
                           "anchor long, doc long, start long, data binary"))
-    order = ["anchor", "data", "doc"] if distinct else ["anchor"]
-    by_anchor = _by_distinct(found) if distinct else _by_anchor(found)
-    spans = settled(pieces.repartition("anchor").sortWithinPartitions(*order)
-                    .mapInArrow(by_anchor, "doc long, a long, b long")
-                    .groupBy(F.col("doc").alias("id"))
-                    .agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    spans = kept(pieces.repartition("anchor").sortWithinPartitions(*order)
+                 .mapInArrow(by_anchor, "doc long, a long, b long")
+                 .groupBy(F.col("doc").alias("id"))
+                 .agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    return wanted, spans
+
+
+def repeated_spans(docs: DataFrame, elements: Elements, window: int, gram: int, packed: Callable,
+                   found: Callable, text: str = "text", distinct: bool = False) -> DataFrame:
+    """Every row of (doc_id, text) with ``first`` (the smallest doc_id of equal texts), ``n``
+    (rows of that text), ``own`` (whether the row is that document) and ``spans``, the removed
+    stretches [a, b) of elements of the first document of a text.
+
+    ``found`` gets the rows of a bucket; with ``distinct`` it gets the distinct data, each with
+    the smallest document that has it, and gives the removed parts [(a, b)] by place among them."""
+    rows = docs.select("doc_id", text_of(text).alias("text")).withColumns({
+        "content": F.xxhash64("text"), "id": F.coalesce("doc_id", F.lit(LAST))})
+    if not distinct:
+        wanted, spans = _wanted_and_spans(rows, elements, window, gram, packed,
+                                          _by_anchor(found), ["anchor"])
+    else:
+        with released(docs.sparkSession):
+            wanted, spans = _wanted_and_spans(rows, elements, window, gram, packed,
+                                              _by_distinct(found), ["anchor", "data", "doc"],
+                                              stored)
     known = wanted.select("content", "id", "n", F.lit(True).alias("own"))
     return (rows.join(known.join(spans, "id", "left"), ["content", "id"], "left")
             .select("doc_id", "text", F.coalesce("own", F.lit(False)).alias("own"),
