@@ -7,7 +7,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from armwatch.functions.distributions import beta_cdf, beta_ppf, hdi_bounds, t_ppf
+from pyspark.sql import functions as F
+
+from armwatch.functions import distributions
+from armwatch.functions.distributions import (
+    beta_cdf, beta_ppf, beta_quantile, hdi_bounds, t_ppf, t_quantile)
 
 
 def one(function, *args):
@@ -72,3 +76,48 @@ def test_shortest_interval_at_a_border():
     low, high = hdi_bounds(np.array([.9, .9]), np.array([1., 31.]), np.array([31., 1.]))
     assert low[0] == 0 and high[1] == 1
     assert high[0] == pytest.approx(1 - low[1])
+
+
+SHAPES = [(1., 1.), (.5, .5), (.3, .3), (.5, 10.), (5., 96.), (6., 95.), (1., 1000.), (900., 17.),
+          (2000., .5), (4000.5, .5), (2900., 1e6), (2900., 1e9), (2999., 2999.), (3500., 5e4),
+          (4000., 4000.), (1e6, 2e6), (1e8, 1e11), (.5, 1e7), (40., 1e10)]
+PROBS = [1e-6, .01, .055, .11, .5, .945, .99]
+
+
+def test_quantile_columns_against_arrays(spark):
+    rows = [(q, a, b) for q in PROBS for a, b in SHAPES]
+    df = spark.createDataFrame(rows, "q double, a double, b double").repartition(8)
+    chosen = df.select("q", "a", "b", beta_quantile(F.col("q"), F.col("a"), F.col("b")).alias("x"),
+                       t_quantile(F.col("q"), F.col("a")).alias("t"))
+    assert "Python" not in chosen._jdf.queryExecution().executedPlan().toString()
+    found = chosen.collect()
+    assert len(found) == len(rows)
+    for r in found:
+        # The arrays stop at an error of 1e-14 in the probability.
+        assert r.x == pytest.approx(one(beta_ppf, r.q, r.a, r.b), rel=1e-7), r
+        if .01 <= r.q <= .99 and r.a >= 1:
+            assert r.t == pytest.approx(one(t_ppf, r.q, r.a), rel=1e-8, abs=1e-8), r
+
+
+def test_quantile_columns_at_borders_and_odd_values(spark):
+    nan = float("nan")
+    rows = [(None, 1., 1.), (.5, None, 1.), (.5, 1., None), (.5, -1., 1.), (.5, 0., 1.),
+            (2., 1., 1.), (-.1, 1., 1.), (nan, 1., 1.), (.5, nan, 1.), (.5, 1., nan)]
+    odd = spark.createDataFrame(rows, "q double, a double, b double")
+    assert odd.where(beta_quantile(F.col("q"), F.col("a"), F.col("b")).isNotNull()).count() == 0
+    ends = spark.createDataFrame([(0.,), (1.,)], "q double").select(
+        beta_quantile(F.col("q"), F.lit(2.), F.lit(3.)).alias("x"))
+    assert [r.x for r in ends.collect()] == [0., 1.]
+    # One degree of freedom is a Cauchy distribution.
+    cauchy = spark.range(1).select(t_quantile(.999999, F.lit(1.)).alias("t")).first().t
+    assert cauchy == pytest.approx(np.tan(np.pi * .499999), rel=1e-9)
+
+
+def test_unsettled_searches_give_null(spark, monkeypatch):
+    monkeypatch.setattr(distributions, "STEPS", 1)
+    short = spark.range(1).select(beta_quantile(.01, F.lit(5.), F.lit(96.)).alias("x"))
+    assert short.first().x is None
+    monkeypatch.setattr(distributions, "STEPS", 200)
+    monkeypatch.setattr(distributions, "TERMS", 2)
+    assert spark.range(1).select(
+        beta_quantile(.4, F.lit(900.), F.lit(700.)).alias("x")).first().x is None
