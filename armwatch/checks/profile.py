@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from armwatch.checks.base import counted, over_collections, register
 from armwatch.plans import profile
 from armwatch.sources.collections import collections, profile_view
+from armwatch.sources.tables import by_key
 
 
 def _data(spark, sf_dir):
@@ -16,6 +17,10 @@ def _donors_with_events(spark, sf_dir):
     return _data(spark, sf_dir).where("sig_hyp").select("don_id").distinct()
 
 
+def _bucketed(spark, sf_dir):
+    return by_key(_data(spark, sf_dir), "don_id", ("col_date",), buckets=8)
+
+
 def _demographics_sql(where: str) -> str:
     return over_collections(f"""
 SELECT don_id AS donor_id, site, "group", status, gender, round(age_num, 6) AS age,
@@ -35,8 +40,7 @@ register("profile_demographics_donor_table",
          lambda s, d: profile.summary_dem(_data(s, d), _donors_with_events(s, d)),
          _demographics_sql("don_id IN (SELECT don_id FROM collections WHERE sig_hyp)"))
 
-register("profile_collections", lambda s, d: profile.summary_col(_data(s, d)),
-         over_collections(f"""
+_COLLECTIONS_SQL = over_collections(f"""
 SELECT don_id AS donor_id, count(DISTINCT col_id) AS n_collections,
        {counted('sig_hyp')} AS n_sig_hyp, {counted('all_ae')} AS n_all_ae,
        round(avg(duration_minutes), 6) AS mean_duration_minutes,
@@ -44,7 +48,12 @@ SELECT don_id AS donor_id, count(DISTINCT col_id) AS n_collections,
        round(max(weight_num) - min(weight_num), 6) AS diff_weight,
        round(max(bmi_num) - min(bmi_num), 6) AS diff_bmi,
        round(max(hct) - min(hct), 6) AS diff_hct
-FROM collections GROUP BY don_id"""))
+FROM collections GROUP BY don_id""")
+register("profile_collections", lambda s, d: profile.summary_col(_data(s, d)), _COLLECTIONS_SQL)
+register("profile_collections_bucketed", lambda s, d: profile.summary_col(_bucketed(s, d)),
+         _COLLECTIONS_SQL)
+register("profile_demographics_bucketed", lambda s, d: profile.summary_dem(_bucketed(s, d)),
+         _demographics_sql("TRUE"))
 
 
 def _chronology_sql(where: str) -> str:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armwatch.columns import col, cols
+from armwatch.session import scratch_dir
 from armwatch.sources.contract import ID, VOLUME, Contract
 
 #: The folder column of a table written by month, and the metadata that names its date column.
@@ -113,3 +116,21 @@ def save_missing(missing: DataFrame, path: str, file_format: str = "parquet",
     if missing.isEmpty():
         raise KeyError("There are no rejected rows to write; skip this call.")
     save_rows(missing, path, file_format, mode)
+
+
+def by_key(df: DataFrame, key: str, order: tuple[str, ...] = (), buckets: int = 64,
+           name: str | None = None, path: str | None = None) -> DataFrame:
+    """Rows written once as a table bucketed by a key and sorted inside each bucket.
+
+    Whatever groups by the key afterwards, alone or with further columns, reads its bucket and
+    needs no shuffle. ``name`` and ``path`` default to a new table of the session under the shared
+    folder. Rows without a key are one bucket's. All rows of a key are one bucket, which its tasks
+    stream; ``buckets`` should give files of a size one task reads, and a table whose
+    largest key holds a large part of the rows is better left unbucketed.
+    """
+    spark = df.sparkSession
+    name = name or f"by_{key}_{uuid.uuid4().hex}"
+    (df.repartition(buckets, col(key)).write.format("parquet")
+     .option("path", path or f"{scratch_dir(spark)}/table")
+     .bucketBy(buckets, key).sortBy(key, *order).saveAsTable(name))
+    return spark.table(name)

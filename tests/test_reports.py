@@ -271,3 +271,26 @@ def test_simulation_does_not_depend_on_partitioning(spark, post):
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
     by_size = {row[0]: row for row in first}
     assert by_size[3000][1] < by_size[1000][1]                 # intervals get narrower
+
+
+def test_bucketed_donors_need_no_shuffle(spark, sf_dir):
+    from armwatch.plans import profile
+    from armwatch.sources.collections import collections, profile_view
+    from armwatch.sources.tables import by_key
+
+    plain = profile_view(collections(spark, sf_dir))
+    kept = by_key(plain, "don_id", ("col_date",), buckets=4)
+    assert kept.count() == plain.count() and kept.columns == plain.columns
+    for report in (profile.summary_dem, profile.summary_col,
+                   lambda df: profile.summary_dem(df, ["10", "11"])):
+        plan = report(kept)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, plan
+    # A repeated donor, a donor without an id and an empty table.
+    odd = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), ("b", None)], "k string, n int")
+    again = by_key(odd, "k", buckets=3)
+    assert sorted(map(str, again.collect())) == sorted(map(str, odd.collect()))
+    counts = again.groupBy("k", "n").count()
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert {(r.k, r.n): r["count"] for r in counts.collect()} == {
+        ("a", 1): 2, (None, 2): 1, ("b", None): 1}
+    assert by_key(odd.limit(0), "k", buckets=3).count() == 0
