@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from armwatch.columns import col, cols, flag, need_columns, need_member, percent
+from armwatch.columns import col, cols, flag, need_columns, need_member, percent, ratio
 from armwatch.functions.intervals import (
     DIFF_METHODS, method_rows, rate_diff_ci_summary, with_rate_ci)
 from armwatch.operators.filters import Day, date_range
@@ -35,13 +35,21 @@ def summary_donat(data: DataFrame, plan: int = SAFETY.plan) -> DataFrame:
     The total adds the arms up (a donor in both arms counts twice), its percentage is relative
     to the plan, and its mean weights the arms by collections.
     """
-    # mean over donors of distinct collections = distinct (donor, collection) pairs / donors
+    # mean over donors of distinct collections = distinct (donor, collection) pairs / donors.
+    # Both distinct counts follow from the pairs, grouped once more by either id: no row is
+    # copied per count.
     pairs = data.select(*cols(("group", "don_id", "col_id"))).distinct()
-    per_arm = pairs.groupBy(col("group")).agg(
-        F.count_distinct("don_id").alias("don_id_nunique"),
-        F.count_distinct("col_id").alias("col_id_nunique"),
-        F.count(F.lit(1)).alias("pairs"))
-    per_arm = per_arm.withColumn("per_donor", col("pairs") / col("don_id_nunique"))
+
+    def counted(key: str, other: str, weight) -> DataFrame:
+        known = F.when(col(key).isNotNull(), 1).otherwise(0)
+        return pairs.groupBy(col("group"), col(key)).agg(weight.alias("pairs")).select(
+            "group", known.alias(f"{key}_nunique"), F.lit(0).alias(f"{other}_nunique"), "pairs")
+
+    both = counted("don_id", "col_id", F.count(F.lit(1))).unionByName(
+        counted("col_id", "don_id", F.first(F.lit(0).cast("long"))))
+    per_arm = both.groupBy(col("group")).agg(*(
+        F.sum(name).alias(name) for name in ("don_id_nunique", "col_id_nunique", "pairs")))
+    per_arm = per_arm.withColumn("per_donor", ratio(col("pairs"), col("don_id_nunique")))
     per_arm = per_arm.withColumn("weighted", col("per_donor") * col("col_id_nunique"))
     table = with_subtotals(per_arm, ["group"], ["don_id_nunique", "col_id_nunique", "weighted"])
     is_total = col("group") == GRAND_TOTAL
