@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from armwatch.columns import col, cols, need_columns, need_member, on_columns, percent, ratio
+from armwatch.columns import col, cols, need_columns, need_member, percent, ratio
 from armwatch.operators import trend as trends
 from armwatch.operators.prepare import period_start
 from armwatch.operators.shape import calendar, carried_forward, running_total
@@ -49,30 +49,61 @@ def working_data(data: DataFrame, strata: Sequence[str], donor_level: bool,
     return data.groupBy(*cols([*strata, "week"])).agg(_count(donor_level, subject).alias("value"))
 
 
-def rate_metrics(data: DataFrame, site: str, strata: Sequence[str], donor_level: bool,
-                 metrics: Sequence[str], subject: str = SUBJECT) -> DataFrame:
-    """Weekly rate metrics with counts, and shares of the site, per site x strata.
+def _rated(data: DataFrame, site: str, strata: Sequence[str], donor_level: bool,
+           metrics: Sequence[str], subject: str, extra: Sequence[Column] = (),
+           first: Sequence[Column] = ()) -> DataFrame:
+    """Rates, counts and the site's totals from one read of the rows.
 
-    One aggregate serves all metrics, one all counts; the site totals join on the key prefix.
+    Rows collapse to (site, strata, week, subject) once. Those rows serve three levels (weeks of a
+    stratum, subjects of a stratum, subjects of a site), told apart by ``__level`` and grouped
+    together; a window over the few rows of a site's strata then hands out the site's totals.
+    ``first`` are aggregates over the source rows, ``extra`` the same ones over their results.
     """
+    keys = [site, *strata]
+    base = data.groupBy(*cols(keys), col("week").alias("__week"),
+                        col(subject).alias("__subject")).agg(
+        F.count(col(subject)).alias("__rows"), *first)
+    week, stratum, whole = range(3)
+    level = col("__level")
+    spread = base.withColumn("__level", F.explode(F.array(*map(F.lit, (week, stratum, whole)))))
+    grouped = spread.groupBy(
+        level, col(site), *(F.when(level < whole, col(name)).alias(name) for name in strata),
+        F.when(level == week, col("__week")).alias("__week"),
+        F.when(level > week, col("__subject")).alias("__subject")).agg(
+            F.sum("__rows").alias("__rows"), F.count("__subject").alias("__subjects"), *extra)
+    weekly = F.when(level == week, col("__subjects" if donor_level else "__rows"))
+    at_site = (level == whole).alias("__site")
+    counts = grouped.groupBy(at_site, *cols(keys)).agg(
+        *(METRICS[name](weekly).alias(name) for name in METRICS if name in metrics),
+        F.sum(F.when(level > week, col("__rows"))).alias("donation_count"),
+        F.count(F.when(level > week, col("__subject"))).alias("donor_count"), *extra)
+    of_site = W.partitionBy(col(site))      # one row per stratum of the site
+    names = [name for name in counts.columns if name not in (*keys, *METRICS, "__site")]
+    return counts.withColumns({
+        f"__whole_{name}": F.max(F.when(col("__site"), col(name))).over(of_site)
+        for name in names}).where(~col("__site")).dropna("any", subset=keys)
+
+
+def _shares(rated: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> list[Column]:
+    return [*cols(keys), *cols(name for name in METRICS if name in metrics), *(
+        column for kind in ("donation", "donor") for column in (
+            ratio(col(f"{kind}_count"), col(f"__whole_{kind}_count")).alias(f"{kind}_percentage"),
+            col(f"{kind}_count")))]
+
+
+def _need_metrics(metrics: Sequence[str]) -> None:
     unknown = [name for name in metrics if name not in METRICS]
     if not metrics or unknown:
         raise KeyError(f"Provide metrics out of {sorted(METRICS)}; not valid: {unknown}.")
-    keys = [site, *strata]
-    rates = working_data(data, keys, donor_level, subject).groupBy(*cols(keys)).agg(
-        *(METRICS[name](col("value")).alias(name) for name in METRICS if name in metrics))
 
-    def counts(by: Sequence[str], prefix: str) -> DataFrame:
-        return data.groupBy(*cols(by)).agg(F.count(col(subject)).alias(f"{prefix}donation"),
-                                           F.count_distinct(col(subject)).alias(f"{prefix}donor"))
 
-    table = on_columns(on_columns(rates, counts(keys, "n_")), counts([site], "site_"))
-    return table.select(
-        *cols(keys), *cols(name for name in METRICS if name in metrics),
-        ratio(col("n_donation"), col("site_donation")).alias("donation_percentage"),
-        col("n_donation").alias("donation_count"),
-        ratio(col("n_donor"), col("site_donor")).alias("donor_percentage"),
-        col("n_donor").alias("donor_count"))
+def rate_metrics(data: DataFrame, site: str, strata: Sequence[str], donor_level: bool,
+                 metrics: Sequence[str], subject: str = SUBJECT) -> DataFrame:
+    """Weekly rate metrics with counts, and shares of the site, per site x strata. The rows are
+    read once, and no join is needed."""
+    _need_metrics(metrics)
+    rated = _rated(data, site, strata, donor_level, metrics, subject)
+    return rated.select(_shares(rated, [site, *strata], metrics))
 
 
 def activation_date(data: DataFrame, site: str, date: str = DATE) -> DataFrame:
@@ -83,9 +114,12 @@ def activation_date(data: DataFrame, site: str, date: str = DATE) -> DataFrame:
 
 def site_metrics(data: DataFrame, site: str, strata: Sequence[str], donor_level: bool,
                  metrics: Sequence[str], date: str = DATE, subject: str = SUBJECT) -> DataFrame:
-    """Rate metrics together with the activation date of the site."""
-    return on_columns(rate_metrics(data, site, strata, donor_level, metrics, subject),
-                      activation_date(data, site, date))
+    """Rate metrics together with the activation date of the site, from the same read."""
+    _need_metrics(metrics)
+    rated = _rated(data, site, strata, donor_level, metrics, subject,
+                   [F.min("__first").alias("__first")], [F.min(col(date)).alias("__first")])
+    return rated.select(*_shares(rated, [site, *strata], metrics), F.date_format(
+        "__whole___first", "yyyy-MM-dd").alias("activation_date"))
 
 
 def projection_steps(metrics: DataFrame, strata: Sequence[str], metric: str) -> DataFrame:

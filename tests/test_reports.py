@@ -294,3 +294,34 @@ def test_bucketed_donors_need_no_shuffle(spark, sf_dir):
     assert {(r.k, r.n): r["count"] for r in counts.collect()} == {
         ("a", 1): 2, (None, 2): 1, ("b", None): 1}
     assert by_key(odd.limit(0), "k", buckets=3).count() == 0
+
+
+@pytest.mark.parametrize("donors", [True, False])
+def test_site_metrics_from_one_read(spark, tmp_path, donors):
+    """Rates, counts, shares and activation dates as counted by hand; null subjects count in no
+    column, rows of a null stratum count for their site only. One scan, no join."""
+    rows = [(f"s{i % 3}", None if i % 17 == 0 else "xy"[i % 5 % 2], None if i % 11 == 0 else i % 23,
+             dt.date(2020, 1, 1 + i % 28)) for i in range(400)]
+    path = str(tmp_path / "enrolled")
+    spark.createDataFrame(rows, "site string, arm string, id int, day date").withColumn(
+        "week", enrolment.week_of(F.col("day"))).write.parquet(path)
+    data = spark.read.parquet(path)
+    table = enrolment.site_metrics(data, "site", ["arm"], donors, ["max", "mean"], "day", "id")
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan
+    found = {(r.site, r.arm): r for r in table.collect()}
+    assert set(found) == {(f"s{i}", a) for i in range(3) for a in "xy"}
+    for (site, arm), r in found.items():
+        whole = [x for x in rows if x[0] == site]
+        own = [x for x in whole if x[1] == arm]
+        weeks = {}
+        for x in own:
+            weeks.setdefault(x[3] - dt.timedelta(x[3].weekday()), []).append(x[2])
+        sizes = [len({v for v in w if v is not None}) if donors
+                 else sum(v is not None for v in w) for w in weeks.values()]
+        ids = [[x[2] for x in part if x[2] is not None] for part in (own, whole)]
+        assert (r.max, r.mean) == (max(sizes), pytest.approx(sum(sizes) / len(sizes)))
+        assert (r.donation_count, r.donor_count) == (len(ids[0]), len(set(ids[0])))
+        assert r.donation_percentage == pytest.approx(len(ids[0]) / len(ids[1]))
+        assert r.donor_percentage == pytest.approx(len(set(ids[0])) / len(set(ids[1])))
+        assert r.activation_date == str(min(x[3] for x in whole))
