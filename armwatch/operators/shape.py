@@ -83,11 +83,6 @@ def wide_metrics(df: DataFrame, ids: Sequence[str], pairs: Sequence[tuple[str, s
             .agg(F.first("value")))
 
 
-def with_overall(split: DataFrame, overall: DataFrame, strata: Sequence[str]) -> DataFrame:
-    """Union of the stratified rows and the whole-table rows labelled ``overall``."""
-    return split.unionByName(overall.withColumns({name: F.lit(OVERALL) for name in strata}))
-
-
 def split_and_overall(df: DataFrame, strata: Sequence[str],
                       aggregates: Sequence[Column]) -> DataFrame:
     """Aggregates per stratum and for the whole table in one scan."""

@@ -13,13 +13,16 @@ from pyspark.sql import Window as W
 
 from armwatch.columns import col, cols, need_columns, need_member, percent
 from armwatch.operators.quantiles import quantiles_of, value_frequencies
-from armwatch.operators.shape import OVERALL, complete_grid, with_overall
+from armwatch.operators.shape import OVERALL, complete_grid
 from armwatch.session import settled
 from armwatch.sources.contract import CATEGORY, PLASMA, POPULATION, SEVERITY, Contract
 
 MEASURES = ("target_vol", "actual_vol", "yield", "yield_resid", "duration_minutes", "speed")
 WEEKLY = "col_weekly_per_device"
 
+#: Marks rows of the whole table that stand beside those of the strata.
+WHOLE = "__whole"
+
 _QUANTILES = {"median": .5, "quantile_025": .025, "quantile_975": .975}
 
 
@@ -40,7 +43,8 @@ def _moments(freq: DataFrame, strata: Sequence[str]) -> DataFrame:
                                    (F.sum(col("value") * col("n")) / F.sum("n")).alias("mean"))
     squares = (rows.join(means, "id").groupBy("id", "total", "mean").agg(
         F.sum(col("n") * (col("value") - col("mean")) ** 2).alias("squares")))
-    divisor = col("total") - 1 if strata else col("total")
+    whole = col("id")[WHOLE] if WHOLE in strata else F.lit(not strata)
+    divisor = col("total") - F.when(whole, 0).otherwise(1)
     sd = F.when(divisor > 0, F.sqrt(col("squares") / divisor))
     pairs = F.array(*(F.struct(F.lit(name).alias("metric"), value.alias("value"))
                       for name, value in (("mean", col("mean")), ("sd", sd))))
@@ -56,9 +60,17 @@ def _quantile_rows(freq: DataFrame, strata: Sequence[str]) -> DataFrame:
     return found.select(*cols(strata), "variable", label.alias("metric"), "value")
 
 
-def _whole_table(freq: DataFrame) -> DataFrame:
-    """Frequencies of the whole table from those of the strata, without another scan."""
-    return freq.groupBy("variable", "value").agg(F.sum("n").alias("n"))
+def _scoped(df: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Every row once for its stratum and once for the whole table, whose strata are null: with
+    ``WHOLE`` as one more key, an aggregate makes both at once."""
+    both = df.withColumn(WHOLE, F.explode(F.array(F.lit(False), F.lit(True))))
+    return both.withColumns({name: F.when(~col(WHOLE), col(name)) for name in strata})
+
+
+def _labelled(rows: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """The rows of the whole table under the label ``overall``."""
+    return rows.withColumns({name: F.when(col(WHOLE), OVERALL).otherwise(
+        col(name).cast("string")) for name in strata}).drop(WHOLE)
 
 
 def _raw_rows(freq: DataFrame, strata: Sequence[str], metric: str = "raw_data") -> DataFrame:
@@ -76,24 +88,26 @@ def _distribution(freq: DataFrame, strata: Sequence[str], raw: bool) -> DataFram
 
 
 def _measured(chosen: DataFrame, strata: Sequence[str], raw: bool, overall: bool,
-              contract: Contract) -> DataFrame:
-    """The measures per stratum and, with ``overall``, of the whole table; whole-table rows come
-    with the severity flags. The source is read once, for the frequencies of all of them."""
+              contract: Contract, more: DataFrame | None = None) -> DataFrame:
+    """The measures per stratum and, with ``overall``, of the whole table under ``WHOLE``;
+    whole-table rows come with the severity flags. The source is read once, for the frequencies
+    of all of them; ``more`` are further frequencies, so that one set of ranks serves all."""
     flags = [name for name in contract.names(SEVERITY) if name in chosen.columns]
     shown = flags if overall or not strata else []
-    freq = settled(value_frequencies(
+    keys = [WHOLE, *strata] if overall else list(strata)
+    freq = value_frequencies(
         chosen.withColumns({name: col(name).cast("int") for name in shown}), strata,
-        [*MEASURES, *shown]))
-    split = freq.where(col("variable").isin(*MEASURES))
-    out = _distribution(split, strata, raw)
+        [*MEASURES, *shown])
+    if overall:
+        freq = _scoped(freq, strata).groupBy(*cols([*keys, "variable", "value"])).agg(
+            F.sum("n").alias("n"))
+    freq = settled(freq if more is None else freq.unionByName(more))
+    is_flag = col("variable").isin(*shown)
+    out = _distribution(freq.where(~is_flag), keys, raw)
     if not shown:
         return out
-    out = out if raw else _no_count(out)
-    if strata:
-        whole = _distribution(_whole_table(split), [], raw)
-        out = with_overall(out, whole if raw else _no_count(whole), strata)
-    flagged = _raw_rows(_whole_table(freq.where(~col("variable").isin(*MEASURES))), [], "flags")
-    return out.unionByName(flagged.withColumns({name: F.lit(OVERALL) for name in strata}))
+    flagged = freq.where(is_flag & (col(WHOLE) if overall else F.lit(True)))
+    return (out if raw else _no_count(out)).unionByName(_raw_rows(flagged, keys, "flags"))
 
 
 def _visits(data: DataFrame, strata: Sequence[str]) -> DataFrame:
@@ -142,22 +156,22 @@ def _distinct(visits: DataFrame, strata: Sequence[str], name: str) -> DataFrame:
     return counted.select(*cols(strata), F.lit(name).alias("variable"), "value")
 
 
-def _counts(visits: DataFrame, strata: Sequence[str], raw: bool, complete: bool) -> DataFrame:
+def _counted(visits: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Distinct collections and devices, with the stratum's share of the sum over all strata."""
     counts = _distinct(visits, strata, "col_id").unionByName(_distinct(visits, strata, "dev_id"))
     metrics = [("nunique", col("value").cast("double"))]
     if strata:
-        total = F.sum("value").over(W.partitionBy("variable"))      # one row per stratum
-        metrics.append(("pct_total", percent(col("value"), total)))
-    counted = counts.select(*cols(strata), "variable", F.array(*(
+        of_stratum = F.when(~col(WHOLE), col("value")) if WHOLE in strata else col("value")
+        total = F.sum(of_stratum).over(W.partitionBy("variable"))   # one row per stratum
+        metrics.append(("pct_total", percent(of_stratum, total)))
+    return counts.select(*cols(strata), "variable", F.array(*(
         F.struct(F.lit(metric).alias("metric"), value.alias("value"))
         for metric, value in metrics)).alias("m")).select(
             *cols(strata), "variable", F.inline("m")).where(col("value").isNotNull())
-    if complete and strata:
-        freq = _complete_weekly(visits, strata)
-    else:
-        freq = value_frequencies(weekly_per_device(visits, strata), strata, [WEEKLY])
-    return (_no_count(counted) if raw else counted).unionByName(
-        _distribution(settled(freq), strata, raw))
+
+
+def _per_device(visits: DataFrame, strata: Sequence[str]) -> DataFrame:
+    return value_frequencies(weekly_per_device(visits, strata), strata, [WEEKLY])
 
 
 def count_summary(data: DataFrame, strata: Sequence[str] | None = None, pop: str = "itt",
@@ -167,7 +181,11 @@ def count_summary(data: DataFrame, strata: Sequence[str] | None = None, pop: str
     mean weekly collections: ``(strata, variable, metric, value)``."""
     strata = list(strata or [])
     _check(data, strata, pop, contract)
-    return _counts(_visits(data.where(col(pop)), strata), strata, raw, complete)
+    visits = _visits(data.where(col(pop)), strata)
+    freq = settled(_complete_weekly(visits, strata) if complete and strata
+                   else _per_device(visits, strata))
+    counted = _counted(visits, strata)
+    return (_no_count(counted) if raw else counted).unionByName(_distribution(freq, strata, raw))
 
 
 def plasma_summary(data: DataFrame, strata: Sequence[str] | None = None, pop: str = "itt",
@@ -189,10 +207,13 @@ def summary(data: DataFrame, strata: Sequence[str] = ("site",), population: str
     strata = list(strata)
     _check(data, strata, population, contract)
     chosen = data.where(col(population))
-    visits = _visits(chosen, strata)
-    counts = with_overall(_counts(visits, strata, False, False),
-                          _counts(visits, [], False, False), strata)
-    return _no_count(counts).unionByName(_measured(chosen, strata, False, True, contract))
+    visits, keys = _visits(chosen, strata), strata
+    if strata:
+        visits, keys = _scoped(visits, strata), [WHOLE, *strata]
+    measured = _measured(chosen, strata, False, bool(strata), contract,
+                         _per_device(visits, keys))
+    rows = _no_count(_counted(visits, keys)).unionByName(measured)
+    return _labelled(rows, strata) if strata else rows
 
 
 def distribution(data: DataFrame, strata: Sequence[str] = ("site",), population: str = "itt",
@@ -200,7 +221,8 @@ def distribution(data: DataFrame, strata: Sequence[str] = ("site",), population:
     """Measures with their whole distribution per stratum, together with ``overall``."""
     strata = list(strata)
     _check(data, strata, population, contract)
-    return _measured(data.where(col(population)), strata, True, True, contract)
+    rows = _measured(data.where(col(population)), strata, True, bool(strata), contract)
+    return _labelled(rows, strata) if strata else rows
 
 
 __all__ = ["MEASURES", "OVERALL", "WEEKLY", "count_summary", "distribution", "plasma_summary",
