@@ -3,8 +3,9 @@
 A cell is one value of the keys, such as a month and a site. Its partial aggregate is written
 once; reports over fewer keys or other periods merge cells and never read the rows again.
 
-* Bitmaps count distinct whole-number ids exactly: one bitmap of 32,768 bits per cell and bucket
-  of ids. They suit ids that are dense in a cell; a lone id still takes a whole bitmap.
+* Bitmaps count distinct whole-number ids exactly: one word of 64 bits per cell and bucket of ids.
+  A lone id takes one word, so a cell with few of the ids is no larger than its rows, and words are
+  merged in place, without sorting.
 * HLL sketches count any ids within about 1.04 / sqrt(2^lg_k) (one standard error).
 * KLL sketches give quantiles whose rank is off by less than about 2.3 / k^0.9 (99 %).
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from armwatch.columns import col, cols
 
+LG_WORD = 6
 LG_K = 14
 KLL_K = 400
 
@@ -42,21 +44,23 @@ def whole_number(name: str) -> Column:
 
 
 def distinct_bitmaps(df: DataFrame, keys: Sequence[str], ident: str) -> DataFrame:
-    """``(keys, bucket, ids)``: the ids of each cell as bits."""
+    """``(keys, bucket, ids)``: the ids of each cell as the bits of whole numbers."""
     number = df.select(*cols(keys), whole_number(ident).alias("__id")).where("__id IS NOT NULL")
-    return (number.groupBy(*cols(keys), F.bitmap_bucket_number("__id").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__id")).alias("ids")))
+    place = F.col("__id").bitwiseAND(F.lit(2 ** LG_WORD - 1)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+    return (number.groupBy(*cols(keys), F.shiftright("__id", LG_WORD).alias("bucket"))
+            .agg(F.bit_or(bit).alias("ids")))
 
 
 def merged_bitmaps(bitmaps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same over fewer keys."""
-    return bitmaps.groupBy(*cols(keys), "bucket").agg(F.bitmap_or_agg("ids").alias("ids"))
+    return bitmaps.groupBy(*cols(keys), "bucket").agg(F.bit_or("ids").alias("ids"))
 
 
 def bitmap_counts(bitmaps: DataFrame, keys: Sequence[str], output: str = "n") -> DataFrame:
     """Exact distinct ids per value of the keys."""
     return merged_bitmaps(bitmaps, keys).groupBy(*cols(keys)).agg(
-        F.sum(F.bitmap_count("ids")).alias(output))
+        F.sum(F.bit_count("ids")).alias(output))
 
 
 def bitmap_rollup(bitmaps: DataFrame, keys: Sequence[str], output: str = "n") -> DataFrame:
@@ -65,7 +69,7 @@ def bitmap_rollup(bitmaps: DataFrame, keys: Sequence[str], output: str = "n") ->
     out, below = None, bitmaps
     for depth in range(len(keys), -1, -1):
         below = merged_bitmaps(below, keys[:depth])
-        level = below.groupBy(*cols(keys[:depth])).agg(F.sum(F.bitmap_count("ids")).alias(output))
+        level = below.groupBy(*cols(keys[:depth])).agg(F.sum(F.bit_count("ids")).alias(output))
         if depth == 0:
             level = level.withColumn(output, F.coalesce(col(output), F.lit(0)))
         level = level.select(

@@ -16,22 +16,24 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from armwatch.columns import col, cols, flag
 from armwatch.operators.filters import Day, date_range
 from armwatch.operators.mergeable import distinct_bitmaps, merged_bitmaps
 from armwatch.operators.prepare import period_start
+from armwatch.session import settled
 
 UNIT, VERSION = "unit", "version"
 
 
-def latest(partials: DataFrame) -> DataFrame:
-    """Partials of the latest version of each unit; a few rows per unit."""
-    newest = F.max(VERSION).over(W.partitionBy(UNIT))
-    return partials.withColumn("__newest", newest).where(
-        col(VERSION) == col("__newest")).drop(VERSION, "__newest")
+def latest(rows: DataFrame) -> DataFrame:
+    """Rows of the latest version of each unit. The versions, one row per unit, are found once and
+    sent to all tasks: a unit may hold any share of the rows."""
+    newest = settled(rows.select(UNIT, VERSION).distinct().groupBy(col(UNIT).alias("__unit")).agg(
+        F.max(VERSION).alias("__newest")))
+    return rows.join(F.broadcast(newest), col(UNIT).eqNullSafe(col("__unit"))
+                     & (col(VERSION) == col("__newest"))).drop(VERSION, "__unit", "__newest")
 
 
 def day_sums(rows: DataFrame, keys: Sequence[str], date: str, flags: Sequence[str]) -> DataFrame:
@@ -60,14 +62,14 @@ def maintain(spark: SparkSession, source: str, schema: T.StructType, target: str
     unit = F.col("_metadata.file_name") if unit is None else unit
     version = (F.struct("_metadata.file_modification_time", "_metadata.file_path")
                if version is None else version)
-    keys = [UNIT, VERSION, *strata]
+    keys = [UNIT, *strata]
 
     def write(partials: DataFrame, name: str) -> None:
-        (latest(partials).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (partials.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(UNIT).parquet(f"{target}/{name}"))
 
     def update(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if prepare is None else prepare(batch)
+        rows = latest(batch if prepare is None else prepare(batch))
         write(day_sums(rows, keys, date, flags), "sums")
         for ident in idents:
             write(month_ids(rows, keys, date, ident), f"ids_{ident}")

@@ -52,6 +52,27 @@ def test_bitmaps_are_exact_over_any_keys(spark, cells):
         mergeable.distinct_bitmaps(cells.withColumn("name", F.lit("x7")), [], "name").collect()
 
 
+def test_a_lone_id_takes_one_word(spark):
+    ids = [*range(-130, 130), *(k * 40_000 + j for k in range(-50, 50) for j in (0, 63))]
+    rows = spark.createDataFrame([(i % 2, i) for i in ids * 2], "k int, ident long")
+    held = mergeable.distinct_bitmaps(rows, ["k"], "ident")
+    words = {(i % 2, i // 64) for i in ids}
+    assert held.count() == len(words) and dict(held.dtypes)["ids"] == "bigint"
+    assert mergeable.bitmap_counts(held, []).first().n == len(set(ids))
+    by_key = {r.k: r.n for r in mergeable.bitmap_counts(held, ["k"]).collect()}
+    assert by_key == {k: len({i for i in ids if i % 2 == k}) for k in (0, 1)}
+
+
+def test_the_latest_versions_need_no_task_per_unit(spark):
+    rows = spark.createDataFrame(
+        [("a", 1, 10), ("a", 2, 11), ("a", 2, 12), (None, 1, 13), ("b", None, 14), ("b", 1, 15)],
+        "unit string, version int, x int")
+    kept = partials.latest(rows)
+    assert sorted(r.x for r in kept.collect()) == [11, 12, 13, 15]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+
+
 def test_sketches_are_near(cells):
     rows = cells.collect()
     held = mergeable.distinct_sketches(cells, ["site", "month"], "ident")
