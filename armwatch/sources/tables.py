@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from armwatch.sources.contract import ID, VOLUME, Contract
 
 #: The folder column of a table written by month, and the metadata that names its date column.
 MONTH, MONTH_OF = "month", "month_of"
+#: Rows of a bucket, on average: a few hundred bytes each are sorted in one task's memory.
+BUCKET_ROWS = 1_000_000
 #: Each file's header is held against the schema, and malformed values fail instead of
 #: turning into nulls.
 STRICT_CSV = {"header": True, "enforceSchema": False, "mode": "FAILFAST"}
@@ -124,11 +127,13 @@ def by_key(df: DataFrame, key: str, order: tuple[str, ...] = (), buckets: int =
 
     Whatever groups by the key afterwards, alone or with further columns, reads its bucket and
     needs no shuffle. ``name`` and ``path`` default to a new table of the session under the shared
-    folder. Rows without a key are one bucket's. All rows of a key are one bucket, which its tasks
-    stream; ``buckets`` should give files of a size one task reads, and a table whose
-    largest key holds a large part of the rows is better left unbucketed.
+    folder. Rows without a key are one bucket's. A bucket is written, sorted and read by one task, so
+    the rows are counted first and there are more than ``buckets`` where a bucket would hold over
+    ``BUCKET_ROWS`` on average. A table whose largest key holds a large part of the rows is better
+    left unbucketed.
     """
     spark = df.sparkSession
+    buckets = max(buckets, math.ceil(df.count() / BUCKET_ROWS))
     name = name or f"by_{key}_{uuid.uuid4().hex}"
     (df.repartition(buckets, col(key)).write.format("parquet")
      .option("path", path or f"{scratch_dir(spark)}/table")

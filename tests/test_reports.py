@@ -296,6 +296,20 @@ def test_bucketed_donors_need_no_shuffle(spark, sf_dir):
     assert by_key(odd.limit(0), "k", buckets=3).count() == 0
 
 
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    from armwatch.sources import tables
+
+    monkeypatch.setattr(tables, "BUCKET_ROWS", 100, raising=False)
+    rows = spark.range(2_050).selectExpr("id % 500 AS k", "id AS n")
+    kept = tables.by_key(rows, "k", ("n",), buckets=4)
+    files = spark.read.format("parquet").load(kept.inputFiles()).groupBy(
+        F.input_file_name()).count().collect()
+    assert len(files) == 21 and max(r["count"] for r in files) < 300
+    assert sorted(kept.collect()) == sorted(rows.collect())
+    few = tables.by_key(rows.limit(50), "k", buckets=4)
+    assert len(few.inputFiles()) <= 4 and few.count() == 50
+
+
 @pytest.mark.parametrize("donors", [True, False])
 def test_site_metrics_from_one_read(spark, tmp_path, donors):
     """Rates, counts, shares and activation dates as counted by hand; null subjects count in no
