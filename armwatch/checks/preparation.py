@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from armwatch.checks.base import counted, over_collections, quoted, register
 from armwatch.columns import col
 from armwatch.operators import filters, ledger, prepare, quantiles, shape
-from armwatch.session import scratch_dir
+from armwatch.session import scratch_dir, stored
 from armwatch.sources import tables
 from armwatch.sources.collections import (
     collections, dashboard_view, enrolment_view, profile_view, raw_view, safety_view, volume_view)
@@ -28,6 +28,11 @@ def _raw(spark, sf_dir):
     return raw_view(collections(spark, sf_dir))
 
 
+def _export(spark, sf_dir):
+    """The study export as a table, for preparations that read it twice (quartiles, then rows)."""
+    return stored(_raw(spark, sf_dir))
+
+
 # ------------------------------------------------------------- SQL of the raw pipeline
 
 # Text dates carry no seconds and flags come back as booleans, so apart from the lost volumes the
@@ -59,12 +64,12 @@ SELECT {_IDS}, {_SPLIT}, age, bmi, weight_q AS weight, {_names(FLAGS)}, {_names(
 FROM (SELECT collections.*, CASE WHEN weight_num <= e1 THEN 'q1' WHEN weight_num <= e2 THEN 'q2'
              WHEN weight_num <= e3 THEN 'q3' ELSE 'q4' END AS weight_q
       FROM collections, edges)"""))
-register("prepare_plasma", lambda s, d: prepare.prepare_plasma(_raw(s, d)).data,
+register("prepare_plasma", lambda s, d: prepare.prepare_plasma(_export(s, d)).data,
          over_collections(f"""
 SELECT {_IDS}, {_TIMES}, {_VOLUMES}, CAST(week AS VARCHAR) AS week, {_SPLIT}, age, bmi,
        weight_q AS weight_cat, {_names(FLAGS)} FROM kept_binned""", _KEPT))
 _PROFILE_FLAGS = ("itt", "mitt", "pp", "all_ae", "sig_hyp")
-register("prepare_profile", lambda s, d: prepare.prepare_profile(_raw(s, d)).data,
+register("prepare_profile", lambda s, d: prepare.prepare_profile(_export(s, d)).data,
          over_collections(f"""
 SELECT {_IDS}, {_TIMES}, {_VOLUMES}, {_SPLIT}, round(hct, 6) AS hct, round(age_num, 6) AS age,
        round(bmi_num, 6) AS bmi, round(weight_num, 6) AS weight, age AS age_cat, bmi AS bmi_cat,

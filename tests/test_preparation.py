@@ -218,3 +218,25 @@ def test_ledger_of_one_writing_job(spark, raw, tmp_path):
     assert kept.count() == prepare.prepare_profile(late, edges={"weight": [1.0, 2.0, 3.0]}).data.count()
     assert ledger.save_with_ledger(faulty.where("false"), RAW_PROFILE, path + "2") == {
         "read": 0, "kept": 0, "rejected": 0}
+
+
+@pytest.mark.parametrize("name", ["prepare_profile", "prepare_plasma"])
+def test_generated_methods_are_small_enough_to_be_compiled(spark, sf_dir, name):
+    """The JVM leaves methods of over 8000 bytes to its interpreter, at several times the cost."""
+    from armwatch.checks import QUERIES
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")    # else plans show no code
+    try:
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution()
+        code = spark._jvm.PythonSQLUtils.explainString(plan, "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(part.split(";")[0]) for part in code.split("maxMethodCodeSize:")[1:]]
+    assert sizes and max(sizes) <= 8000, sizes
+
+
+def test_flags_are_yes_or_no(spark):
+    rows = spark.createDataFrame([("Yes",), ("No",), (None,), ("yes",)], "flag string")
+    kept = prepare.yes_no(rows, ["flag"])
+    assert [r.flag for r in kept.collect()] == [True, False, False, False]
