@@ -76,11 +76,15 @@ def chronology(data: DataFrame, donors: Donors = None, contract: Contract = PROF
         "gap": F.coalesce(F.date_diff("col_date", F.lag("col_date").over(by_donor)), F.lit(0))})
     first = ["proc_start", "col_id", "dev_id"]
     order = first + [name for name in _CHRONOLOGY if name not in (*first, "don_id", "col_date")]
-    unknown = F.when(col("don_id").isNull() | col("col_date").isNull(), F.xxhash64(*cols(first)))
-    donor_day = W.partitionBy("don_id", "col_date", unknown).orderBy(*cols(order), "event_type")
+    # Window and join share these keys, so rows are shuffled and sorted once.
+    keys = ["don_id", "col_date", "spread"]
+    unknown = col("don_id").isNull() | col("col_date").isNull()
+    days = days.withColumn("spread", F.when(unknown, F.xxhash64(*cols(keys[:2]))).otherwise(0))
+    donor_day = W.partitionBy(*keys).orderBy(*cols(order), "event_type")
     rows = chosen.select(*cols(_CHRONOLOGY), event_names(codes).alias("event_type")).withColumn(
+        "spread", F.when(unknown, F.xxhash64(*cols(first))).otherwise(0)).withColumn(
         "place", F.row_number().over(donor_day))
-    return rows.join(days, on=["don_id", "col_date"], how="left").select(
+    return rows.join(days, on=keys, how="left").select(
         *(col(name).alias(out) for name, out in _CHRONOLOGY.items()), "days_total",
         F.when(col("place") == 1, col("gap")).when(col("gap").isNotNull(), 0).alias("days_lag"),
         "event_type")

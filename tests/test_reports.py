@@ -296,6 +296,25 @@ def test_bucketed_donors_need_no_shuffle(spark, sf_dir):
     assert by_key(odd.limit(0), "k", buckets=3).count() == 0
 
 
+def test_chronology_sorts_the_rows_once(spark, sf_dir):
+    from armwatch.sources.collections import collections, profile_view
+
+    data = profile_view(collections(spark, sf_dir))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = profile.chronology(data)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    lines = plan.split("\n")
+    join = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line)
+    window = next(i for i, line in enumerate(lines) if "Window" in line)
+    assert not any("Exchange" in line or "Sort [" in line for line in lines[join:window])
+
+
 def test_buckets_grow_with_the_rows(spark, monkeypatch):
     from armwatch.sources import tables
 
