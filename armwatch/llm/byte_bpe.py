@@ -1,9 +1,10 @@
 """Byte-level BPE: texts to token ids with character offsets, and back to bytes.
 
-The ``tokenizers`` library merges; each text is first cut by the vocabulary's pattern, and every
-distinct piece of an Arrow batch is given to the library once. A token stands for bytes, written
-by the library with one printable character per byte; decoding reverses that table, so pieces of
-a character that two tokens share are put together again before the bytes become text.
+``tiktoken`` cuts each text by the vocabulary's pattern and merges the bytes of a piece by rank;
+a long text is cut here, piece by piece. A worker holds the ids of one text at a time and no pieces.
+A token stands for bytes, written in the vocabulary file with one printable character per byte;
+that table is reversed, so pieces of a character that two tokens share are put together again
+before the bytes become text.
 
 Ids are held as little-endian unsigned 32-bit integers in a binary column.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces remembered per worker; when there are more, remembering starts anew.
-REMEMBERED = 100_000
+#: Characters from which on a text is cut here: tiktoken's own cutting ends the process on runs of
+#: about a million blanks.
+LONG = 1 << 16
 
 
 def byte_of_character() -> dict[str, int]:
@@ -41,43 +44,61 @@ def file_of(path: str | None) -> str:
     return path or public_tokenizers.path("byte_bpe_50k.json")
 
 
+def content_of(path: str | None) -> tuple[dict, dict[str, bytes]]:
+    """A vocabulary file, and the bytes of its tokens without the special ones."""
+    with open(file_of(path), encoding="utf-8") as file:
+        content = json.load(file)
+    table, special = byte_of_character(), {x["content"] for x in content["added_tokens"]}
+    return content, {token: bytes(map(table.__getitem__, token))
+                     for token in content["model"]["vocab"] if token not in special}
+
+
 class Encoder:
     """One vocabulary file, loaded once per worker."""
 
     def __init__(self, path: str | None, pattern: str | None):
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(file_of(path))
-        self.library.encode_special_tokens = True
-        self.cut = regex.compile(pattern or public_tokenizers.PATTERN).findall
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.cut(text) if text else () for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({piece for pieces in cut for piece in pieces if piece not in known})
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        import tiktoken
+
+        content, data = content_of(path)
+        vocab, merges = content["model"]["vocab"], content["model"]["merges"]
+        tokens = [t for t in vocab if len(data.get(t, b"")) == 1]
+        if len(tokens) < 256:
+            raise ValueError("the vocabulary lacks tokens of single bytes")
+        tokens += ["".join(m.split(" ") if isinstance(m, str) else m) for m in merges]
+        tokens = list(dict.fromkeys(tokens))
+        self.id_of_rank = np.array([vocab[t] for t in tokens], "<u4")
+        pattern = pattern or public_tokenizers.PATTERN
+        self.cut = regex.compile(pattern).finditer
+        self.library = tiktoken.Encoding(
+            "vocabulary", pat_str=pattern, special_tokens={},
+            mergeable_ranks={data[t]: rank for rank, t in enumerate(tokens)})
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if len(text) < LONG:
+            ranks = self.library.encode_ordinary(text)
+        else:
+            ranks = array("I")
+            for piece in self.cut(text):
+                ranks.extend(self.library._encode_single_piece(piece[0]))
+        return self.id_of_rank[ranks].tobytes()
 
 
 class Decoder:
     """The bytes of each id."""
 
     def __init__(self, path: str | None):
-        with open(file_of(path), encoding="utf-8") as file:
-            content = json.load(file)
-        table, tokens = byte_of_character(), content["model"]["vocab"]
+        content, data = content_of(path)
+        tokens = content["model"]["vocab"]
         special = {x["id"]: x["content"].encode() for x in content["added_tokens"]}
         self.bytes_of: list[bytes | None] = [None] * (max([*tokens.values(), *special]) + 1)
-        for token, i in tokens.items():
-            self.bytes_of[i] = special.get(i) or bytes(map(table.__getitem__, token))
-        for i, data in special.items():
-            self.bytes_of[i] = data
+        for token, found in data.items():
+            self.bytes_of[tokens[token]] = found
+        for i, found in special.items():
+            self.bytes_of[i] = found
         self.length = np.array([len(b or b"") for b in self.bytes_of])
 
     def decode(self, ids: bytes | None) -> bytes:
@@ -112,7 +133,8 @@ def encoded(text: Column, path: str | None = None, pattern: str | None = None) -
     """Token ids of a text; ``path`` names a byte-level vocabulary of the tokenizers library."""
     @F.arrow_udf(T.BinaryType())
     def encode_batch(texts: pa.Array) -> pa.Array:
-        return pa.array(encoder(path, pattern).encode(texts.to_pylist()), pa.binary())
+        own = encoder(path, pattern)
+        return pa.array((own.encode(text.as_py()) for text in texts), pa.binary())
 
     # else the optimizer repeats the encoding within every expression that reads the ids
     return encode_batch.asNondeterministic()(text)
