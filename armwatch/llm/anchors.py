@@ -189,44 +189,42 @@ def _by_anchor(found: Callable):
 
 
 class _Bucket:
-    """Stretches of one anchor, in order of (data, doc): distinct data, and per row its doc, its
-    start and which data it is."""
+    """Stretches of one anchor, in order of (data, doc): distinct data, each with the smallest
+    document that has it and its places there. Rows of later documents go at once; none is held."""
 
     def __init__(self) -> None:
         self.data: list[bytes] = []
-        self.rows: list[tuple[np.ndarray, ...]] = []
+        self.least: list[int] = []
+        self.rows: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, data: list[bytes], which: np.ndarray, doc: np.ndarray,
-            start: np.ndarray) -> None:
-        """``which`` counts ``data`` from 0; the first may be the last one of the rows before."""
-        base = len(self.data)
-        if base and data[0] == self.data[-1]:
-            data, base = data[1:], base - 1
-        self.data += data
-        self.rows.append((which + base, doc, start))
+            start: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(doc, a, b) of the rows that go whole. ``which`` counts ``data`` from 0; the first may
+        be the last one of the rows before."""
+        least = doc[np.searchsorted(which, np.arange(len(data)))]
+        again = int(bool(self.data) and data[0] == self.data[-1])
+        if again:
+            least[0] = self.least[-1]
+        whole, base = doc > least[which], len(self.data) - again
+        self.data += data[again:]
+        self.least += least[again:].tolist()
+        if not whole.all():
+            self.rows.append((which[~whole] + base, start[~whole]))
+        size = np.array([len(d) for d in data], np.int64)
+        return doc[whole], start[whole], start[whole] + size[which[whole]]
 
     def spans(self, found: Callable) -> tuple[np.ndarray, ...]:
-        """(doc, a, b) of the removed parts of the rows."""
-        which, doc, start = (self.rows[0] if len(self.rows) == 1 else
-                             tuple(np.concatenate(r) for r in zip(*self.rows)))
-        first = np.searchsorted(which, np.arange(len(self.data)))
-        least = doc[first]
-        size = np.array([len(d) for d in self.data], np.int64)
-        whole = doc > least[which]
-        out = [(doc[whole], start[whole], start[whole] + size[which[whole]])]
+        """(doc, a, b) of the removed parts of the smallest documents."""
+        out: list[tuple[int, int, int]] = []
         if len(self.data) > 1:
-            some = []
-            last = [*first[1:].tolist(), len(which)]
-            for i, parts in found(self.data, least.tolist()).items():
-                # the rows of one data are in order of their documents: the smallest ones first
-                for own in range(first[i], last[i]):
-                    if whole[own]:
-                        break
-                    d, at = int(doc[own]), int(start[own])
-                    some += [(d, at + a, at + b) for a, b in parts]
-            if some:
-                out.append(tuple(np.array(some, np.int64).T))
-        return tuple(np.concatenate(r) for r in zip(*out))
+            which, start = (self.rows[0] if len(self.rows) == 1 else
+                            (np.concatenate(r) for r in zip(*self.rows)))
+            edges = np.searchsorted(which, np.arange(len(self.data) + 1)).tolist()
+            start = start.tolist()
+            for i, parts in found(self.data, self.least).items():
+                out += [(self.least[i], at + a, at + b) for at in start[edges[i]:edges[i + 1]]
+                        for a, b in parts]
+        return tuple(np.array(out, np.int64).reshape(-1, 3).T)
 
 
 def _by_distinct(found: Callable):
@@ -266,13 +264,14 @@ def _by_distinct(found: Callable):
             at = np.cumsum(new_data & ~plain)
             for g in np.flatnonzero(~(inner & (kinds == 1))).tolist():
                 a, b = int(edges[g]), int(edges[g + 1])
-                if key is not None and anchor[a] != key and waiting.rows:
+                if key is not None and anchor[a] != key and waiting.data:
                     out.append(waiting.spans(found))
                     waiting = _Bucket()
                 key = anchor[a]
-                waiting.add(shown[at[a] - 1:at[b - 1]], at[a:b] - at[a], doc[a:b], start[a:b])
+                out.append(waiting.add(shown[at[a] - 1:at[b - 1]], at[a:b] - at[a], doc[a:b],
+                                       start[a:b]))
             yield batch_of(out)
-        if waiting.rows:
+        if waiting.data:
             yield batch_of([waiting.spans(found)])
 
     return run

@@ -7,6 +7,9 @@ different bytes is a maximal repeat, put out with all its occurrences. A byte go
 occurrence of a maximal repeat of at least ``least`` bytes covers it and the same repeat starts
 in a document with a smaller doc_id.
 
+Suffixes that share their first ``least`` bytes are sorted together, those of a large bucket by
+parts, so that a bucket's memory is that of its distinct stretches and one part.
+
 Equal texts are one document in the buckets: all but the one with the smallest doc_id lose every
 byte if they have ``least``. Null and empty texts lose nothing. Rows that repeat a doc_id and its
 text are one document. A null doc_id counts as larger than any other.
@@ -15,6 +18,8 @@ text are one document. A null doc_id counts as larger than any other.
 from __future__ import annotations
 
 import hashlib
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +30,8 @@ from armwatch.llm.anchors import merged, repeated_spans
 
 LEAST = 50
 GRAM = 16
+#: Suffixes sorted at a time.
+PART = 200_000
 
 
 def elements(text: str) -> np.ndarray:
@@ -53,11 +60,29 @@ def common_prefix(a: bytes, b: bytes, least: int) -> int:
     return low
 
 
-def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(length, occurrences (text, place)) of every maximal repeat of at least so many bytes."""
-    suffixes = sorted((text[i:], t, i) for t, text in enumerate(texts)
-                      for i in range(len(text) - least + 1))
-    out: list[tuple[int, list[tuple[int, int]]]] = []
+def suffixes(texts: list[bytes], least: int) -> Iterator[list[tuple[bytes, int, int]]]:
+    """(suffix, text, place) of all suffixes of at least so many bytes, each part in order. Those
+    that share so many bytes at their front lie in one part, so no repeat spans two."""
+    counts = [max(0, len(text) - least + 1) for text in texts]
+    total = sum(counts)
+    if total <= PART:
+        yield sorted((text[i:], t, i) for t, text in enumerate(texts)
+                     for i in range(len(text) - least + 1))
+        return
+    parts, counts = total // PART + 1, np.array(counts)
+    ends = np.cumsum(counts)
+    part = np.fromiter((zlib.crc32(text[i:i + least]) % parts for text in texts
+                        for i in range(len(text) - least + 1)), np.uint32, total)
+    for own in range(parts):
+        at = np.flatnonzero(part == own)
+        t = np.searchsorted(ends, at, side="right")
+        places = zip(t.tolist(), (at - ends[t] + counts[t]).tolist())
+        yield sorted((texts[t][i:], t, i) for t, i in places)
+
+
+def repeats(texts: list[bytes], suffixes: list[tuple[bytes, int, int]],
+            least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(length, occurrences (text, place)) of the maximal repeats among suffixes in order."""
     stack: list[tuple[int, int]] = []  # common-prefix length, first suffix of the interval
     for k in range(1, len(suffixes) + 1):
         same = (common_prefix(suffixes[k - 1][0], suffixes[k][0], least)
@@ -68,22 +93,40 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tupl
             places = [(t, i) for _, t, i in suffixes[begin:k]]
             left = {texts[t][i - 1:i] if i else (t,) for t, i in places}
             if len(left) > 1:
-                out.append((length, places))
+                yield length, places
         if same >= least and (not stack or stack[-1][0] < same):
             stack.append((same, begin))
+
+
+def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(length, occurrences (text, place)) of every maximal repeat of at least so many bytes."""
+    return [x for part in suffixes(texts, least) for x in repeats(texts, part, least)]
+
+
+def runs(mask: int) -> list[tuple[int, int]]:
+    """The runs [a, b) of set bits."""
+    out, at = [], 0
+    while mask:
+        skipped = (mask & -mask).bit_length() - 1
+        mask >>= skipped
+        length = (~mask & (mask + 1)).bit_length() - 1
+        mask >>= length
+        out.append((at + skipped, at + skipped + length))
+        at += skipped + length
     return out
 
 
 def removed(texts: list[bytes], least: list[int]) -> dict[int, list[tuple[int, int]]]:
     """Of a bucket's distinct stretches, each with the smallest document that has it, the parts
     that go, by the stretch's number."""
-    spans: dict[int, list[tuple[int, int]]] = {}
-    for length, places in maximal_repeats(texts, LEAST):
-        smallest = min(least[t] for t, _ in places)
-        for t, i in places:
-            if least[t] > smallest:
-                spans.setdefault(t, []).append((i, i + length))
-    return spans
+    gone: dict[int, int] = {}  # the bytes that go, as bits
+    for part in suffixes(texts, LEAST):
+        for length, places in repeats(texts, part, LEAST):
+            smallest, run = min(least[t] for t, _ in places), (1 << length) - 1
+            for t, i in places:
+                if least[t] > smallest:
+                    gone[t] = gone.get(t, 0) | run << i
+    return {t: runs(mask) for t, mask in gone.items()}
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 import hashlib
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from armwatch.llm import relative_lz, suffix_dedup
+from armwatch.llm import anchors, relative_lz, suffix_dedup
 from armwatch.llm.registry import QUERIES
 
 
@@ -111,3 +113,58 @@ def test_maximal_repeats_have_all_occurrences():
     want = {(len(w), frozenset(p)) for w, p in want.items()
             if len(p) > 1 and diverse(p, -1) and diverse(p, len(w))}
     assert {(n, frozenset(p)) for n, p in suffix_dedup.maximal_repeats(found, 6)} == want
+
+
+def peak_of(run):
+    tracemalloc.start()
+    try:
+        result = run()
+        return result, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_rows_of_a_hot_anchor_are_not_held():
+    """300,000 documents share a passage: later documents' rows go with their batch."""
+    data = [b"%d" % k + b" the passage of sixty bytes that is in very many other texts" for k in range(3)]
+
+    def batches():
+        for text in data:
+            for at in range(0, 100_000, 5000):
+                docs = pa.array(np.arange(at, at + 5000))
+                yield pa.record_batch([pa.array(np.zeros(5000, np.int64)), docs, docs,
+                                       pa.array([text] * 5000, pa.binary())],
+                                      names=["anchor", "doc", "start", "data"])
+
+    def run():
+        found = anchors._by_distinct(lambda data, least: {2: [(1, 51)]} if least == [0] * 3 else {})
+        seen, last = 0, None
+        for batch in found(batches()):
+            seen, last = seen + batch.num_rows, batch.slice(max(0, batch.num_rows - 1))
+        return seen, last.to_pylist()
+
+    (seen, last), peak = peak_of(run)
+    assert seen == 3 * 99_999 + 1 and last == [{"doc": 0, "a": 1, "b": 51}]
+    assert peak < 4, peak
+
+
+def test_suffixes_of_a_large_bucket_are_sorted_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    core = b"a passage that very many documents hold, in 54 bytes.."
+    found = sorted({core[k % 3:] + rng.bytes(30) for k in range(3000)}
+                   | {rng.bytes(k % 9) + core for k in range(600)})
+    least = rng.permutation(len(found)).tolist()
+    first = {}
+    for text, doc in zip(found, least):
+        for i in range(len(text) - 49):
+            first[text[i:i + 50]] = min(first.get(text[i:i + 50], doc), doc)
+    want = {}
+    for t, (text, doc) in enumerate(zip(found, least)):
+        gone = {j for i in range(len(text) - 49) if first[text[i:i + 50]] < doc
+                for j in range(i, i + 50)}
+        if gone:
+            want[t] = gone
+    monkeypatch.setattr(suffix_dedup, "PART", 5000, raising=False)
+    result, peak = peak_of(lambda: suffix_dedup.removed(found, least))
+    assert {t: {j for a, b in v for j in range(a, b)} for t, v in result.items()} == want
+    assert peak < 12, peak
